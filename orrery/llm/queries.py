@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import langid, linededup, mixing, packing, pii, simhash, sketches
 
 QUERIES = {
+    "op1_pii": pii.op1,
+    "op4_bottom_k_fingerprints": sketches.op4,
     "op5_simhash_near_dedup": simhash.op5,
+    "op6_source_mixing": mixing.op6,
+    "op7_packing": packing.op7,
+    "op8_line_dedup": linededup.op8,
+    "op9_language_id": langid.op9,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_line_dedup": linededup.OP8_SQL,
+}
