@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = taken.groupBy("_id", "_source", "row_hash").agg(F.min("size").alias("size"), F.floor(F.avg("taken")).alias("taken"))
     rows = docs.withColumn("_hash", F.xxhash64(text_of())).join(taken, F.expr("doc_id <=> _id and _hash = row_hash and source <=> _source"))
     rest = F.col("taken") % F.col("size")
-    part = F.regexp_extract(F.col("text"), F.concat(F.lit(f"^(?:[\\x20\\x09-\\x0D]*+{WORD}+){{"), rest, F.lit("}+")), 0)
+    part = F.regexp_substr(F.col("text"), F.concat(F.lit(f"^(?:[\\x20\\x09-\\x0D]*+{WORD}+){{"), rest, F.lit("}+")))  # its first words
     texts = F.concat(F.array_repeat(F.col("text"), (F.col("taken") / F.col("size")).cast("int")), F.when(rest > 0, F.array(part)).otherwise(F.array()))
     rows = rows.withColumn("_copy", F.explode(texts))
     return rows.withColumn("text", F.col("_copy")).withColumn("n_chars", F.char_length("_copy").cast("long")).select(*docs.columns)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
-
 #: nulls, empty and blank texts, one word, copies under several ids, shared lines, spans, a repeated row.
 TEXTS = [
     (0, "The quick brown fox jumps over the lazy dog again and again\nshared line one two\nonly here", "en", "a", 5),
@@ -32,7 +30,6 @@ def written(spark, path, rows=None) -> str:
     return str(path)
 
 
-def rows_of(df, *keys) -> list[tuple]:
-    found = df.toPandas()
-    found = found[sorted(found.columns)]
-    return sorted((tuple(None if pd.isna(x) else x for x in r) for r in found.itertuples(index=False)), key=repr)
+def rows_of(df) -> list[tuple]:
+    names = sorted(df.columns)
+    return sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr)
