@@ -2,13 +2,13 @@
 
 A fingerprint has 64 bits, in eight byte positions. Two fingerprints that differ in at
 most ``d`` bits differ in at most ``d`` bytes and so share at least ``8 - d`` positional
-bytes: the guaranteed minimum. A posting list of one positional byte holds 1/256 of all
-fingerprints, and its pairs grow with the square of the corpus; so the index is keyed by
-each set of ``8 - d`` positions together with their bytes. A pair meets under such a key
-exactly if its tally of shared positional bytes reaches the minimum, which is the count
-filter, and no pair below the minimum is ever formed. Each met pair is kept under the
-first of its keys only, then verified on its bits. Equal fingerprints are collapsed
-before, so copies form no pairs at all.
+bytes: the guaranteed minimum. A posting list of one positional byte would hold 1/256 of all
+fingerprints, and its pairs grow with the square of the corpus; so the postings are those
+of ``WIDTH`` positional bytes together. By the count filter's own bound, a pair that shares
+``8 - d`` of eight bytes shares ``WIDTH`` of the first ``d + WIDTH``: these suffice as keys.
+Every pair that meets has its shared positional bytes tallied, stays if it reaches the minimum,
+and is then verified on its bits; it counts under the first of its keys only. Equal
+fingerprints are collapsed before, so copies form no pairs at all.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import stash, table
 from .components import connected_components
 
+#: Positional bytes in a key of the index: 32 bits, by which few unlike fingerprints meet.
+WIDTH = 4
 #: Hashes whose bits are counted at once.
 BLOCK = 1 << 14
 
@@ -64,16 +66,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(batches, "doc_id long, fp long")
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _byte(position: int) -> int:
+    """The mask of one byte position, 0 being the highest byte."""
+    return _signed(0xFF << (56 - 8 * position))
+
+
 def index_keys(max_bits: int = 3) -> list[tuple[int, list[int]]]:
-    """For each set of ``8 - max_bits`` byte positions, in lexical order: the mask of its bytes,
-    and the masks of the earlier positions outside it, in which a pair must differ for this
-    to be the first set it shares."""
-    byte = lambda p: 0xFF << (56 - 8 * p)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    """For each set of ``WIDTH`` among the first ``max_bits + WIDTH`` byte positions, in lexical order: the
+    mask of its bytes, and the positions before its last that are outside it, in which a pair must
+    differ for this to be the first set it shares."""
     keys = []
-    for chosen in combinations(range(8), 8 - max_bits):
-        before = [p for p in range(max(chosen)) if p not in chosen]
-        keys.append((signed(sum(map(byte, chosen))), [signed(byte(p)) for p in before]))
+    for chosen in combinations(range(max_bits + WIDTH), WIDTH):
+        mask = _signed(sum(0xFF << (56 - 8 * p) for p in chosen))
+        keys.append((mask, [p for p in range(max(chosen)) if p not in chosen]))
     return keys
 
 
@@ -85,17 +94,23 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     if not 0 <= max_bits <= 3:
         raise ValueError("max_bits must be from 0 to 3: beyond, shared bytes are too few to index")
     keys = index_keys(max_bits)
-    entry = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, (m, _) in enumerate(keys)])
-    index = fps.select("node", "fp", F.explode(entry).alias("k")).select("node", "fp", "k.c", "k.bytes")
+    # The last byte is in no key, so it holds the key's number.
+    posting = [F.col("fp").bitwiseAND(F.lit(m)).bitwiseOR(F.lit(i)) for i, (m, _) in enumerate(keys)]
+    index = fps.select("fp", F.explode(F.array(*posting)).alias("key"))
     left, right = index.alias("l"), index.alias("r")
     x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
-    earlier = max(len(e) for _, e in keys)
+    differs = [x.bitwiseAND(F.lit(_byte(p))) != 0 for p in range(8)]
+    tally = sum((F.when(d, 0).otherwise(1) for d in differs), F.lit(0))
+    number = F.col("l.key").bitwiseAND(F.lit(0xFF)).cast("int")
     first = F.lit(True)
-    for j in range(earlier):  # -1: no j-th earlier position
-        masks = F.array(*[F.lit(e[j] if j < len(e) else -1) for _, e in keys])
-        first = first & (x.bitwiseAND(F.get(masks, F.col("l.c"))) != 0)
-    on = (F.col("l.c") == F.col("r.c")) & (F.col("l.bytes") == F.col("r.bytes")) & (F.col("l.fp") < F.col("r.fp"))
-    return left.join(right, on & (F.bit_count(x) <= max_bits) & first).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+    for p in range(max_bits + WIDTH - 1):
+        asked = F.array(*[F.lit(p in before) for _, before in keys])
+        first = first & (differs[p] | ~F.get(asked, number))
+    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp"))
+    on = on & (tally >= 8 - max_bits) & (F.bit_count(x) <= max_bits) & first
+    pairs = left.join(right, on).select(F.col("l.fp").alias("fp_a"), F.col("r.fp").alias("fp_b"))
+    named = lambda end: fps.select(F.col("fp").alias(f"fp_{end}"), F.col("node").alias(end))
+    return pairs.join(named("a"), "fp_a").join(named("b"), "fp_b").select("a", "b")
 
 
 def near_duplicates(
