@@ -11,6 +11,7 @@ leaves one record for each window it touches.
 from __future__ import annotations
 
 import base64
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -21,25 +22,37 @@ from pyspark.sql import functions as F
 from .common import stash, table
 
 
+#: Documents encoded at a time inside a task.
+SLICE = 128
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@lru_cache(maxsize=4)
+def exact_tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str):
-    """A function from a text to its token ids, by the tokenizer file at ``path``.
+    """A function from a text to its token ids (unsigned 32-bit array), by the tokenizer file at ``path``.
 
     Where the same vocabulary lies beside it as ranks (``.tiktoken``), that faster encoder is
     used; texts that hold a special token's string, or that it can't take, go to the tokenizer
-    itself. Both give the same ids.
+    itself, which is loaded only then. Both give the same ids.
     """
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    special = [t.content for t in slow.get_added_tokens_decoder().values()]
-    exact = lambda text: slow.encode(text, add_special_tokens=False).ids
+    def exact(text: str) -> np.ndarray:
+        return np.array(exact_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    with open(path, encoding="utf-8") as file:
+        special = [t["content"] for t in json.load(file).get("added_tokens", [])]
     try:
         import public_tokenizers
         import tiktoken
@@ -50,11 +63,11 @@ def encoder(path: str):
     except (ImportError, OSError):
         return exact
 
-    def encode(text: str) -> list[int]:
+    def encode(text: str) -> np.ndarray:
         if any(s in text for s in special):
             return exact(text)
         try:
-            return fast.encode_ordinary(text)
+            return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
         except BaseException as e:  # the encoder panics on some extreme texts
             if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
@@ -69,16 +82,19 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
 
     def batches(it):
         encode = encoder(tokenizer)
+        end = np.array([end_id], dtype="<u4")
         run = 0
         for batch in it:
-            ids = [np.array([*encode(x.as_py() or ""), end_id], dtype="<u4") for x in batch.column(1)]
-            sizes = np.array([len(x) for x in ids], dtype=np.int64)
-            before = run + np.cumsum(sizes) - sizes
-            run += int(sizes.sum())
-            yield pa.record_batch(
-                [batch.column(2), pa.array(before), batch.column(0), pa.array(sizes), pa.array([x.tobytes() for x in ids], pa.binary())],
-                names=["part", "before", "doc_id", "n", "ids"],
-            )
+            for first in range(0, len(batch), SLICE):
+                part = batch.slice(first, SLICE)
+                ids = [np.concatenate([encode(x.as_py() or ""), end]).tobytes() for x in part.column(1)]
+                sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+                before = run + np.cumsum(sizes) - sizes
+                run += int(sizes.sum())
+                yield pa.record_batch(
+                    [part.column(2), pa.array(before), part.column(0), pa.array(sizes), pa.array(ids, pa.binary())],
+                    names=["part", "before", "doc_id", "n", "ids"],
+                )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().alias("part"))
     return rows.mapInArrow(batches, "part int, before long, doc_id long, n long, ids binary")
@@ -106,17 +122,23 @@ def cut(placed: DataFrame, window: int) -> DataFrame:
 
     def batches(it):
         for batch in it:
-            out = {k: [] for k in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
-            for doc_id, at, n, ids in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "at", "n", "ids"))):
-                start = 0
-                while start < n:
-                    sequence, offset = divmod(at + start, window)
-                    length = min(n - start, window - offset)
-                    for k, v in zip(out, (doc_id, start, length, ids[4 * start : 4 * (start + length)], n, sequence, offset)):
-                        out[k].append(v)
-                    start += length
-            kinds = [pa.binary() if k == "ids" else pa.int64() for k in out]
-            yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
+            column = lambda k: batch.column(k).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            at, n, ids = column("at"), column("n"), batch.column("ids")
+            first = at // window
+            pieces = (at + n - 1) // window - first + 1
+            doc = np.repeat(np.arange(len(n)), pieces)
+            sequence = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            low, high = np.maximum(sequence * window, at[doc]), np.minimum((sequence + 1) * window, (at + n)[doc])
+            # pieces follow each other in the batch's own bytes: only their bounds are new
+            ends = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1]
+            bounds = np.append(ends[:-1][doc] + 4 * (low - at[doc]), ends[-1]).astype(np.int32)
+            cut_ids = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(bounds), ids.buffers()[2]])
+            numbers = [pa.array(x) for x in (low - at[doc], high - low, n[doc], sequence, low - sequence * window)]
+            start, length, total, sequence_id, offset = numbers
+            yield pa.record_batch(
+                [batch.column("doc_id").take(pa.array(doc)), start, length, cut_ids, total, sequence_id, offset],
+                names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+            )
 
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return placed.select("doc_id", "at", "n", "ids").mapInArrow(batches, schema)
