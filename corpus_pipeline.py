@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import langid, linededup, mixing, packing, simhash
-from orrery.llm.common import WORD, stash, table, text_of
+from orrery.llm.common import WORD, bound_batches, stash, table, text_of
 
 #: Least share of a document's n-grams that its language must hold; tables of symbols and the like stay below.
 MIN_SCORE = 0.1
@@ -14,6 +14,7 @@ MIN_SCORE = 0.1
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that was learnt, and set lang to it."""
+    bound_batches(spark)
     model = langid.train(docs)
     judged = langid.classify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
     return judged.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
@@ -22,6 +23,7 @@ def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that an earlier document holds, and documents of which nothing is left."""
     found = linededup.drop_repeated_lines(docs)
+    found = found.withColumn("kept_text", F.explode(F.array("kept_text")))  # joined once, not once for each use
     found = found.where((F.col("n_dropped") == 0) | F.col("kept_text").rlike(WORD))
     return found.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("kept_text").cast("long")).select(*docs.columns)
 

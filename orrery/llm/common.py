@@ -18,10 +18,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 _local_dir: str | None = None
 
 
+#: Rows sent to a Python worker at once; they hold whole documents.
+ARROW_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables in ``sf_dir``."""
     # Python workers started later find this package also if only the driver's path has it
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,6 +50,13 @@ def stash(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower Spark's Arrow batches to :data:`ARROW_ROWS` rows where they are larger, as its default is."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def text_of(column: str = "text"):
     """The text, a null one being empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

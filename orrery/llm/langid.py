@@ -169,7 +169,8 @@ def classify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             found = [judge_text(shared.value, x) for x in texts]
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    judged = docs.withColumn("_judged", judge(F.col(text_col).cast("string")))
+    # a deterministic function would run twice where its result is filtered
+    judged = docs.withColumn("_judged", judge.asNondeterministic()(F.col(text_col).cast("string")))
     return judged.select(*docs.columns, "_judged.lang_pred", "_judged.score")
 
 
