@@ -1 +1,3 @@
+"""Queries on the driver's tables, one or more for each operator; importing this package registers them."""
 
+from . import files, grids, relational, scalars, spatial, statistics, streams  # noqa: F401

@@ -1,6 +1,26 @@
-"""The queries of the library on the driver's tables, each with its SQL oracle."""
+"""The queries of the library on the driver's tables, each with its SQL oracle. ``orrery.plans`` fills them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query ``f(spark, sf_dir)`` and, where SQL can express it, the same in DuckDB's SQL."""
+
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
