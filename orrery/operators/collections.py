@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stash
+
 
 def with_ordinal(rows: DataFrame, order: list, name: str = "ord", slices: int = 0) -> DataFrame:
     """``rows`` with a number from 0 in a given order.
@@ -17,7 +19,8 @@ def with_ordinal(rows: DataFrame, order: list, name: str = "ord", slices: int =
     """
     keys = [o if isinstance(o, Column) else F.col(o) for o in order]
     n = slices or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id())
+    # written once, since a range's number must be the same for its size and its rows
+    ranged = stash(rows.repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id()))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) - 1
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
