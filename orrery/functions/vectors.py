@@ -25,12 +25,8 @@ def let(f, *values: Column) -> Column:
     Without this a formula of formulas would hold each inner one many times over.
     """
 
-    def bind(known, rest):
-        if not rest:
-            return f(*known)
-        return F.get(F.transform(F.array(rest[0]), lambda x: bind([*known, x], rest[1:])), F.lit(0))
-
-    return bind([], list(values))
+    held = F.struct(*[x.alias(f"_{i}") for i, x in enumerate(values)])
+    return F.get(F.transform(F.array(held), lambda h: f(*[h[f"_{i}"] for i in range(len(values))])), F.lit(0))
 
 
 def bound(f):
@@ -44,7 +40,7 @@ def bound(f):
             rest = iter(columns)
             return f(*[next(rest) if isinstance(a, Column) else a for a in args], **options)
 
-        return let(call, *given)
+        return let(call, *given) if given else f(*args, **options)
 
     return wrapped
 
