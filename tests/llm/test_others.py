@@ -62,7 +62,7 @@ def test_image_copies(spark):
     assert images.copies(df.limit(0)).count() == 0
 
 
-def test_hot_buckets_keep_groups_together(spark, monkeypatch):
+def test_hot_buckets_keep_groups_together(spark):
     base = picture(1)
     rows = []
     for i in range(24):  # near copies that differ in one far pixel each
@@ -70,7 +70,6 @@ def test_hot_buckets_keep_groups_together(spark, monkeypatch):
         a[i, 0] = 255 - a[i, 0]
         rows.append(as_row(i, a))
     df = spark.createDataFrame(rows, "image_id long, height int, width int, pixels binary")
-    monkeypatch.setattr(images, "HOT", 8)
     got = images.copies(df).collect()
     assert {r.component_id for r in got} == {0}
     assert sum(r.n_links for r in got) < 24 * 23
@@ -81,7 +80,7 @@ def test_hot_buckets_lose_no_class(spark, monkeypatch):
         [(i, k, float(k), float(k), 0, 0.0, [7, 8, 100 * (i // 4) + k, i], 100 * i + k) for i in range(12) for k in range(6)],
         "image_id long, corner long, x double, y double, scale int, turn double, quarters array<long>, pid long",
     )  # under one key 7 stand three groups of four: only images of one group are alike
-    monkeypatch.setattr(images, "HOT", 8)
+    monkeypatch.setattr(images, "HOT", 1)
     posted = images.stash(images.postings(points))
     found = images.stash(images.matches(posted, points, 5))
     parts = images.connected_components(images.consensus(found))
@@ -91,7 +90,8 @@ def test_hot_buckets_lose_no_class(spark, monkeypatch):
     assert rows_of(images.connected_components(links)) == rows_of(want)
 
 
-def test_matches_are_those_of_brute_force(spark):
+def test_matches_are_those_of_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(images, "HOT", 10_000)
     points = [r.asDict() | {"pid": i} for i, r in enumerate(images.descriptors(spark.createDataFrame([as_row(1, picture(1)), as_row(2, picture(1)[4:, 4:]), as_row(3, picture(3))], "image_id long, height int, width int, pixels binary")).collect())]
     df = spark.createDataFrame(points, "image_id long, x double, y double, scale int, turn double, quarters array<long>, pid long")
     got = {(r.l_image_id, r.l_x, r.l_y, r.r_image_id, r.r_x, r.r_y) for r in images.matches(images.postings(df), df).collect()}
