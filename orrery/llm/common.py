@@ -1,23 +1,19 @@
-"""Shared helpers of the training-data operators: reading tables, cutting lineage, numbering."""
+"""Shared helpers of the training-data operators: reading tables, bounding batches, texts and digests."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..storage import stash, work_dir  # noqa: F401
 
 #: Characters of [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 #: A maximal run of other characters (Java regular expression).
 WORD = r"[^\x20\x09-\x0D]+"
 
-_local_dir: str | None = None
-
-
 #: Rows sent to a Python worker at once; they hold whole documents.
 ARROW_ROWS = 1000
 
@@ -30,26 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where none is set."""
-    global _local_dir
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="orrery-")
-    return _local_dir
-
-
-def stash(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/orrery-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
-    return spark.read.schema(schema).parquet(path)
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Lower Spark's Arrow batches to :data:`ARROW_ROWS` rows where they are larger, as its default is."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .common import stash, table
-from .components import connected_components
 
 #: Positional bytes in a key of the index: 32 bits, by which few unlike fingerprints meet.
 WIDTH = 4

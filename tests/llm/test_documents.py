@@ -184,7 +184,7 @@ def test_simhash_links_and_chains(spark):
     got = Counter((min(r.a, r.b), max(r.a, r.b)) for r in simhash.links(df).collect())
     want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= 3}
     assert set(got) == want and set(got.values()) <= {1} and len(want) > 50
-    from orrery.llm.components import connected_components
+    from orrery.operators.graph import connected_components
 
     comp = {r.node: r.component for r in connected_components(simhash.links(df)).collect()}
     brute = brute_components(list(range(len(fps))), [x & (1 << 64) - 1 for x in fps])

@@ -79,7 +79,7 @@ def test_hot_buckets_lose_no_class(spark, monkeypatch):
     points = spark.createDataFrame(
         [(i, k, float(k), float(k), 0, 0.0, [7, 8, 100 * (i // 4) + k, i], 100 * i + k) for i in range(12) for k in range(6)],
         "image_id long, corner long, x double, y double, scale int, turn double, quarters array<long>, pid long",
-    )  # under one key 7 stand three groups of four: only images of one group are alike
+    )  # under one key stand three groups of four: only images of one group are alike
     monkeypatch.setattr(images, "HOT", 1)
     posted = images.stash(images.postings(points))
     found = images.stash(images.matches(posted, points, 5))
