@@ -77,7 +77,7 @@ def hysteresis_3d(spark, d):
 
 @query("canny_3d")
 def canny_3d(spark, d):
-    return grid.canny(cells(spark, d), 3, 0.8, 40.0, 90.0)
+    return grid.canny(cells(spark, d), 3, 0.8, 5.0, 10.0)
 
 
 @query("grid_normalize", f"WITH {CELLS}, m AS (SELECT min(v) AS a, max(v) AS b FROM g) SELECT x, y, z, round((v - a) / (b - a), 8) AS v FROM g, m")
