@@ -105,6 +105,36 @@ def test_matches_are_those_of_brute_force(spark, monkeypatch):
     assert got == want and want
 
 
+def test_descriptors_up_to_the_largest_distance_meet(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):  # pairs of descriptors, 10, 20, 30 or 40 bits apart
+        bits = rng.integers(0, 2, 256).astype(np.uint8)
+        other = bits.copy()
+        other[rng.choice(256, 10 * (i % 4 + 1), replace=False)] ^= 1
+        for k, b in enumerate((bits, other)):
+            rows.append((2 * i + k, 0.0, 0.0, 0, 0.0, np.packbits(b, bitorder="little").view("<i8").tolist(), 2 * i + k))
+    points = spark.createDataFrame(rows, "image_id long, x double, y double, scale int, turn double, quarters array<long>, pid long")
+    none = spark.createDataFrame([], "node long, component long")
+    got = images.matches_sampled(points, none, 40).collect()
+    assert all(r.l_image_id % 2 == 0 and r.r_image_id == r.l_image_id + 1 for r in got) and len(got) == len(set(got))
+    found = [sum(r.l_image_id // 2 % 4 == k for r in got) / 100 for k in range(4)]
+    assert found[0] == found[1] == 1 and found[2] >= 0.95 and found[3] >= 0.8
+    one = spark.createDataFrame([(i, 0) for i in range(800)], "node long, component long")
+    assert not images.matches_sampled(points, one, 40).collect()
+
+
+def test_noisy_copies_are_linked(spark):
+    rng = np.random.default_rng(2)
+    rows = {i: picture(i) for i in range(20)}
+    for i in range(10):  # noise
+        rows[100 + i] = np.uint8(np.clip(rows[i].astype(int) + rng.integers(-10, 11, rows[i].shape), 0, 255))
+    df = spark.createDataFrame([as_row(*r) for r in rows.items()], "image_id long, height int, width int, pixels binary")
+    found = {r.image_id: r.component_id for r in images.copies(df).collect()}
+    assert all(found[i] == i for i in range(20))
+    assert sum(found[100 + i] == i for i in range(10)) >= 9
+
+
 # --- 3: chats ---------------------------------------------------------------------------
 
 control = st.lists(st.sampled_from(["<", ">", "[", "]", "/", "\\", "s", "INST", "SYS", "|", "turn", "end", "text", " ", "</s>", "[INST]", "<|end|>", "<<SYS>>", "\n", "é"]), max_size=14).map("".join)
