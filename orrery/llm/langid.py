@@ -1,7 +1,8 @@
 """Language identification by bit-sliced Bloom filters over character n-grams.
 
-Every language is a bit. A table of ``cells`` bit masks holds one Bloom filter for each
-language, bit-sliced: mask j carries position j of all filters at once. Looking an n-gram up
+Every language is a bit; 64 of them make a word, and there are as many words as it takes. For
+each, a table of ``cells`` bit masks holds one Bloom filter for each language, bit-sliced: mask j
+carries position j of all its filters at once. Looking an n-gram up
 is a bitwise AND of ``probes`` masks and returns the languages that hold it, all in one go.
 A text's n-grams give a popcount for each language; the hits that a filter's own fill
 makes by chance are taken out, and the language with the most of the rest wins.
@@ -27,7 +28,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass
 class LanguageModel:
-    """``masks``: the bit-sliced filters; ``fill``: the chance of a false hit, by language."""
+    """``masks``: the bit-sliced filters, a table for each 64 languages (one table may come bare);
+    ``fill``: the chance of a false hit, by language."""
 
     languages: list[str]
     masks: np.ndarray
@@ -35,12 +37,13 @@ class LanguageModel:
     n: int
     probes: int
 
-    def hits(self, grams: np.ndarray) -> np.ndarray:
-        """The languages that hold each n-gram, as bit masks."""
-        at = np.uint64(len(self.masks) - 1)
-        found = self.masks[grams & at]
+    def hits(self, grams: np.ndarray, word: int = 0) -> np.ndarray:
+        """Which of a word's 64 languages hold each n-gram, as bit masks."""
+        masks = self.masks if self.masks.ndim == 1 else self.masks[word]
+        at = np.uint64(len(masks) - 1)
+        found = masks[grams & at]
         for i in range(1, self.probes):
-            found &= self.masks[(grams >> np.uint64(20 * i)) & at]
+            found &= masks[(grams >> np.uint64(20 * i)) & at]
         return found
 
     def scores(self, counts: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -104,29 +107,31 @@ def train(
     """Learn from labelled documents that are not held out.
 
     ``max_docs`` bounds the labelled sample of a language (in expectation, chosen by a hash of
-    the id), ``max_grams`` the n-grams it keeps: its most frequent. There may be 64
-    languages. Rows without id, text or label are left out.
+    the id), ``max_grams`` the n-grams it keeps: its most frequent. All labels are learnt. Rows without id, text or label are left out.
     """
     if cells & (cells - 1) or cells > 1 << 20:
         raise ValueError("cells must be a power of two up to 2**20")
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     usable = usable.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
-    masks, fill = np.zeros(cells, dtype=np.uint64), np.zeros(len(languages))
+    number = {k: i for i, k in enumerate(languages)}
+    masks, fill = np.zeros((max(1, -(-len(languages) // 64)), cells), dtype=np.uint64), np.zeros(len(languages))
     if languages:
-        share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(1e6 * min(1, max_docs / sizes[k]))))])
-        picked = usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share[F.col("lang")]).where("text is not null")
+        shares = [(k, int(1e6 * min(1, max_docs / sizes[k]))) for k in languages]
+        share = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, _share int"))
+        picked = usable.join(share, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("_share")).where("text is not null")
         ranked = _count_grams(picked.select("lang", "text"), n).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "gram")))
         model = LanguageModel(languages, masks, fill, n, probes)
         for row in ranked.where(F.col("rank") <= max_grams).groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect():
-            bit = np.uint64(1 << languages.index(row["lang"]))
+            word, place = divmod(number[row["lang"]], 64)
+            bit = np.uint64(1 << place)
             grams = np.array(row["grams"], dtype=np.int64).view(np.uint64)
             for i in range(probes):
                 at = ((grams >> np.uint64(20 * i)) & np.uint64(cells - 1)).astype(np.int64)
-                masks[at] |= bit
+                masks[word, at] |= bit
         for k in range(len(languages)):
-            fill[k] = float(((masks >> np.uint64(k)) & np.uint64(1)).mean()) ** probes
+            fill[k] = float(((masks[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) ** probes
         return model
     return LanguageModel(languages, masks, fill, n, probes)
 
@@ -136,10 +141,12 @@ def popcounts(model: LanguageModel, text: str) -> tuple[np.ndarray, int]:
     counts, total = np.zeros(len(model.languages), dtype=np.int64), 0
     for i in range(0, len(text), WINDOW):
         points = code_points(text[max(0, i - model.n + 1) : i + WINDOW])
-        found = model.hits(gram_hashes(points, model.n))
-        total += len(found)
-        for k in range(len(counts)):
-            counts[k] += int(((found >> np.uint64(k)) & np.uint64(1)).sum())
+        grams = gram_hashes(points, model.n)
+        total += len(grams)
+        for first in range(0, len(counts), 64):
+            found = model.hits(grams, first // 64)
+            for k in range(min(64, len(counts) - first)):
+                counts[first + k] += int(((found >> np.uint64(k)) & np.uint64(1)).sum())
     return counts, total
 
 

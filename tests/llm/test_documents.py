@@ -315,6 +315,20 @@ def test_language_id(spark, odd, none):
     assert len(langid.op9(spark, odd).collect()) == len(TEXTS) and not langid.op9(spark, none).collect()
 
 
+def test_all_languages_are_learnt(spark):
+    rng = np.random.default_rng(4)
+    rows, letters = [], "abcdefghijklmnopqrstuvwxyz"
+    for k in range(70):  # each label has words of its own; the last six have fewest documents
+        words = ["".join(letters[i] for i in rng.integers(0, 26, 7)) for _ in range(12)]
+        for j in range(8 if k < 64 else 4):
+            rows.append((10 * k + j, " ".join(rng.permutation(words)), f"l{k:02}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == [f"l{k:02}" for k in range(70)] and model.masks.shape[0] == 2
+    got = langid.classify(docs, model).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == r.lang and r.score > 0.5 for r in got)
+
+
 def test_language_false_hits_are_taken_out():
     rng = np.random.default_rng(1)
     masks = (rng.random(1 << 12) < 0.5).astype(np.uint64)
