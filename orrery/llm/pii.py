@@ -202,6 +202,17 @@ def _overlap(x: Column, y: Column) -> Column:
     return (x["s"] < y["e"]) & (y["s"] < x["e"])
 
 
+def select_spans(ranked: Column) -> Column:
+    """The spans, likeliest first, that overlap none selected before them."""
+    none = F.expr("cast(array() as array<struct<k:int,s:int,e:int,p:double>>)")
+
+    def step(kept: Column, x: Column) -> Column:
+        span = F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["p"].alias("p"))
+        return F.when(F.exists(kept, lambda y: _overlap(x, y)), kept).otherwise(F.concat(kept, F.array(span)))
+
+    return F.aggregate(ranked, none, step)
+
+
 def detect(docs: DataFrame, text_col: str = "text", model=None) -> DataFrame:
     """``docs`` with ``base`` and ``spans``, arrays of ``struct<k, s, e, p>``.
 
@@ -221,8 +232,8 @@ def detect(docs: DataFrame, text_col: str = "text", model=None) -> DataFrame:
         return F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), p.alias("p"))
 
     rows = rows.withColumn("_asked", F.filter(F.transform("_asked", score), lambda x: (x["p"] > 0) & ~F.exists("_base", lambda y: _overlap(x, y))))
-    rank = lambda x: F.struct(x["p"], -x["k"], -x["s"])
-    added = F.filter("_asked", lambda x: ~F.exists("_asked", lambda y: _overlap(x, y) & (rank(y) > rank(x))))
+    ranked = F.array_sort(F.transform("_asked", lambda x: F.struct((-x["p"]).alias("rank"), x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["p"].alias("p"))))
+    added = select_spans(ranked)
     base = F.transform("_base", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit(1.0).alias("p")))
     return rows.withColumn("base", base).withColumn("spans", F.array_sort(F.concat("base", added))).select(*given, "base", "spans")
 

@@ -299,6 +299,13 @@ def test_runs_are_compacted(spark):
     assert sorted((r.h1, r.owner) for r in runs.owners().collect()) == [(0, 0), (1, 1), (2, 12), (3, 23), (4, 34), (5, 45)]
 
 
+def test_pii_spans_give_way_to_selected_ones_only(spark):
+    spans = [(-0.9, 0, 0, 10, 0.9), (-0.8, 1, 8, 20, 0.8), (-0.7, 0, 18, 30, 0.7), (-0.6, 2, 25, 40, 0.6)]
+    df = spark.createDataFrame([(spans,), ([],)], "r array<struct<rank:double,k:int,s:int,e:int,p:double>>")
+    got = [[(x.k, x.s, x.e) for x in r.got] for r in df.select(pii.select_spans(F.col("r")).alias("got")).collect()]
+    assert got == [[(0, 0, 10), (0, 18, 30)], []]
+
+
 # --- 9: languages -----------------------------------------------------------------------
 
 
