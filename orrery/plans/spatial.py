@@ -50,6 +50,13 @@ def box_overlap(spark, d):
     return spatial.boxes_meeting(b.where("id % 20 = 0"), b, strict=True).where("a_id < b_id")
 
 
+@query("box_overlap_whole")
+def box_overlap_whole(spark, d):
+    """box_overlap without its choice of left boxes, which keeps the quadratic SQL in reach."""
+    b = boxes(spark, d)
+    return spatial.boxes_meeting(b, b, strict=True).where("a_id < b_id")
+
+
 @query("box_intersect", f"""
 WITH {BOXES} SELECT a.id AS a_id, b.id AS b_id FROM b AS a JOIN b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 AND a.z0 <= b.z1 AND b.z0 <= a.z1
 WHERE a.id % 20 = 0 AND b.id % 20 = 1""")
@@ -58,6 +65,12 @@ def box_intersect(spark, d):
     return spatial.boxes_meeting(b.where("id % 20 = 0"), b.where("id % 20 = 1"))
 
 
+@query("box_intersect_whole")
+def box_intersect_whole(spark, d):
+    b = boxes(spark, d)
+    return spatial.boxes_meeting(b, b)
+
+
 @query("box_any", f"""
 WITH {BOXES} SELECT id FROM b WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_quantity BETWEEN x0 AND x1 AND round(l_discount * 100) BETWEEN y0 AND y1 AND round(l_tax * 100) BETWEEN z0 AND z1)""")
 def box_any(spark, d):
@@ -88,6 +101,15 @@ def boxes_clipped(spark, d):
     return left.groupBy("id").agg(F.count("*").alias("pieces"), F.round(F.sum(g.box_volume(F.col("box"))), 8).alias("volume"))
 
 
+@query("boxes_clipped_whole")
+def boxes_clipped_whole(spark, d):
+    """What is left of each box outside all unit boxes set beside the others' upper corners."""
+    b = boxes(spark, d)
+    top = F.col("box")["max"]
+    left = spatial.clip_boxes(b, b.withColumn("box", g.box(top, v.vec(top["x"] + 1, top["y"] + 1, top["z"] + 1))))
+    return left.groupBy("id").agg(F.count("*").alias("pieces"), F.round(F.sum(g.box_volume(F.col("box"))), 8).alias("volume"))
+
+
 @query("bounds", f"""
 WITH {POINTS} SELECT label, round(min(x), 8) AS low_x, round(max(y), 8) AS high_y, round(avg(z), 8) AS centroid_z, count(*) AS n FROM p GROUP BY label""")
 def bounds(spark, d):
@@ -128,6 +150,14 @@ def nn_unbounded(spark, d):
     return spatial.nearest(asked, p).select(F.col("query_id").alias("id"), F.col("point_id").alias("nearest"), F.round("distance", 8).alias("distance"))
 
 
+@query("nn_unbounded_whole")
+def nn_unbounded_whole(spark, d):
+    """nn_unbounded for every point."""
+    p = points(spark, d)
+    asked = p.withColumn("pos", v.vec(F.col("pos.x") * 2, F.col("pos.y"), F.col("pos.z")))
+    return spatial.nearest(asked, p).select(F.col("query_id").alias("id"), F.col("point_id").alias("nearest"), F.round("distance", 8).alias("distance"))
+
+
 def terrain(spark, d) -> DataFrame:
     """Small triangles, one over each point."""
     p = F.col("pos")

@@ -379,3 +379,26 @@ def test_lines_and_matrices(spark, tmp_path):
     (tmp_path / "r.txt").write_text("1 2 3\n4 5\n")
     with pytest.raises(Exception, match="rows differ"):
         lines.read_matrix(spark, str(tmp_path / "r.txt")).collect()
+
+
+def test_whole_spatial_queries_are_brute_force(spark):
+    from orrery.plans import spatial as plans
+
+    d = "/root/testdata/sf0.001"
+    b = {r.id: (tuple(r.box.min), tuple(r.box.max)) for r in plans.boxes(spark, d).collect()}
+    meets = lambda p, q, less: all(less(x, w) and less(y, z) for x, z, y, w in zip(p[0], p[1], q[0], q[1]))
+    pairs = lambda df: sorted((r.a_id, r.b_id) for r in df.collect())
+    assert pairs(plans.box_overlap_whole(spark, d)) == sorted((i, j) for i in b for j in b if i < j and meets(b[i], b[j], lambda x, y: x < y))
+    assert pairs(plans.box_intersect_whole(spark, d)) == sorted((i, j) for i in b for j in b if meets(b[i], b[j], lambda x, y: x <= y))
+    cells = lambda p: set(np.ndindex(*[int(2 * (y - x)) for x, y in zip(*p)]))
+    placed = lambda p: {tuple(int(2 * x) + k for x, k in zip(p[0], c)) for c in cells(p)}
+    cut = set().union(*[placed((p[1], tuple(x + 1 for x in p[1]))) for p in b.values()])
+    want = {i: len(placed(p) - cut) / 8 for i, p in b.items() if placed(p) - cut}
+    assert {r.id: r.volume for r in plans.boxes_clipped_whole(spark, d).collect()} == want
+    points = {r.id: tuple(r.pos) for r in plans.points(spark, d).collect()}
+    got = {r.id: r.distance for r in plans.nn_unbounded_whole(spark, d).collect()}
+    ids, at = list(points), np.array(list(points.values()), dtype=float)
+    for i in ids:
+        x, y, z = points[i]
+        assert abs(got[i] - np.sqrt(((at - [2 * x, y, z]) ** 2).sum(axis=1)).min()) < 1e-7
+    assert len(got) == len(ids)
