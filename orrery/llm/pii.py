@@ -7,7 +7,8 @@ proposal a pattern of yes/no features; trees fitted on generated examples turn i
 probability, and a threshold calibrated for each kind on held-out examples decides. A
 selected span is added unless it overlaps a base span or a likelier selected one.
 
-Main path in DataFrame functions only, without any shuffle.
+Main path in DataFrame functions only, without any shuffle. Spans are found and told apart by
+folds along the text (:func:`scan`), so that a text of many spans costs little more for each.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import let
 from . import boosting
-from .common import sha256, table, text_of
+from .common import Sheltered, sha256, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -47,7 +49,6 @@ CONTEXT = 32
 
 #: Features: name and test, on the proposal ``m``, what stands before it and after it.
 FEATURES: list[tuple[str, object]] = [
-    ("kind_email", lambda m, a, b: m.rlike(r"(?i)@|at|64")),
     ("has_at_sign", lambda m, a, b: m.contains("@")),
     ("bracketed_at", lambda m, a, b: m.rlike(r"[(\[{]\x20?at\x20?[)\]}]|&#64;")),
     ("bracketed_dot", lambda m, a, b: m.rlike(r"[(\[{]\x20?dot\x20?[)\]}]")),
@@ -67,10 +68,10 @@ FEATURES: list[tuple[str, object]] = [
     ("hex_groups", lambda m, a, b: m.rlike(r"^(?:[0-9A-Fa-f]{1,4}:){7}")),
     ("bracketed_octets", lambda m, a, b: m.rlike(rf"^{OCTET}(?:\[\.\]{OCTET}){{3}}$")),
     ("word_mail", lambda m, a, b: a.rlike(r"(?i)e-?mail|contact|write|reach|adress|correo|courriel")),
-    ("word_phone", lambda m, a, b: a.rlike(r"(?i)\b(?:tel|phone|call|fax|mobile|cell|ring|telefon|telephone)")),
+    ("word_phone", lambda m, a, b: a.rlike(r"(?i)(?<![a-z0-9])(?:tel|phone|call|fax|mobile|cell|ring|telefon|telephone)")),
     ("word_card", lambda m, a, b: a.rlike(r"(?i)card|visa|credit|debit|payment|karte|carte|tarjeta")),
-    ("word_host", lambda m, a, b: a.rlike(r"(?i)\bip\b|host|server|addr|client|peer|login")),
-    ("word_other", lambda m, a, b: a.rlike(r"(?i)isbn|version|serial|order|invoice|page|chapter|section|part|model|sku|ref|id\b|no\.|grid|hash|key")),
+    ("word_host", lambda m, a, b: a.rlike(r"(?i)(?<![a-z0-9])ip(?![a-z0-9])|host|server|addr|client|peer|login")),
+    ("word_other", lambda m, a, b: a.rlike(r"(?i)isbn|version|serial|order|invoice|page|chapter|section|part|model|sku|ref|id(?![a-z0-9])|no\.|grid|hash|key")),
     ("number_near", lambda m, a, b: a.rlike(r"[0-9][^A-Za-z]{0,3}$") | b.rlike(r"^[^A-Za-z]{0,3}[0-9]")),
 ]
 
@@ -93,34 +94,68 @@ VALID = {
 }
 
 
+#: A match: kind, start, end (exclusive) and text.
+SPANS = "array<struct<k:int,s:int,e:int,m:string>>"
+#: A judged proposal, with its probability.
+JUDGED = "struct<k:int,s:int,e:int,p:double>"
+FAR = (1 << 31) - 1
+
+
+def none(kind: str) -> Column:
+    return F.expr(f"cast(array() as {kind})")
+
+
+def scan(items: Column, zero: Column, step, kind: str) -> Column:
+    """What a fold along an array puts out: ``step(state, x)`` gives the next state and an array of type ``kind``.
+
+    The array is folded in blocks of about the square root of its size, whose outputs are joined at
+    the end: growing one array item by item would copy it each time.
+    """
+
+    def inner(acc: Column, x: Column) -> Column:
+        state, out = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def outer(acc: Column, block: Column) -> Column:
+        part = F.aggregate(block, F.struct(acc["state"].alias("state"), none(kind).alias("out")), inner)
+        return let(lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")), part)
+
+    def run(all_items: Column, n: Column) -> Column:
+        width = F.ceil(F.sqrt(n)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), n, width), lambda i: F.slice(all_items, i, width))
+        folded = F.aggregate(blocks, F.struct(zero.alias("state"), none(f"array<{kind}>").alias("out")), outer)
+        return F.when(n > 0, F.flatten(folded["out"])).otherwise(none(kind))
+
+    return let(lambda x: let(run, x, F.size(x)), items)
+
+
 def find(text: Column, pattern: str, kind: int) -> Column:
-    """All leftmost matches of a pattern as ``array<struct<k, s, e, m>>``: kind, start, end (exclusive), match.
+    """All leftmost matches of a pattern as :data:`SPANS`.
 
     Spark finds matches but not their places; what lies between them, as ``split`` gives
     it, adds up to those.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    none = F.expr("cast(array() as array<struct<k:int,s:int,e:int,m:string>>)")
-    steps = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("g"), F.char_length(m).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
-    def step(acc, x):
-        s = acc["at"] + x["g"]
-        span = F.struct(F.lit(kind).alias("k"), s.alias("s"), (s + x["n"]).alias("e"), x["m"].alias("m"))
-        return F.struct((s + x["n"]).alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
+    def place(at: Column, x: Column) -> tuple[Column, Column]:
+        s = at + x["g"]
+        e = s + x["n"]
+        return e, F.array(F.struct(F.lit(kind).alias("k"), s.alias("s"), e.alias("e"), x["m"].alias("m")))
 
-    return F.when(F.size(matches) > 0, F.aggregate(steps, start, step, lambda acc: acc["found"])).otherwise(none)
+    def placed(matches: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
+        steps = F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("g"), F.char_length(m).alias("n")))
+        return F.when(F.size(matches) > 0, scan(steps, F.lit(0), place, SPANS)).otherwise(none(SPANS))
+
+    return let(placed, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
 def base_spans(text: Column) -> Column:
     """Matches of the fixed formats that pass their checks, by kind as listed, then by start."""
-    none = F.expr("cast(array() as array<struct<k:int,s:int,e:int,m:string>>)")
     parts = []
     for k, kind in enumerate(KINDS):
         has = text.contains("@") if kind == "email" else text.rlike("[0-9]")
         valid = VALID[kind]
-        parts.append(F.when(has, F.filter(find(text, BASE[kind], k), lambda x: valid(x["m"]))).otherwise(none))  # noqa: B023
+        parts.append(F.when(has, F.filter(find(text, BASE[kind], k), lambda x: valid(x["m"]))).otherwise(none(SPANS)))  # noqa: B023
     return F.concat(*parts)
 
 
@@ -204,26 +239,60 @@ def _overlap(x: Column, y: Column) -> Column:
 
 def select_spans(ranked: Column) -> Column:
     """The spans, likeliest first, that overlap none selected before them."""
-    none = F.expr("cast(array() as array<struct<k:int,s:int,e:int,p:double>>)")
 
     def step(kept: Column, x: Column) -> Column:
         span = F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["p"].alias("p"))
         return F.when(F.exists(kept, lambda y: _overlap(x, y)), kept).otherwise(F.concat(kept, F.array(span)))
 
-    return F.aggregate(ranked, none, step)
+    return F.aggregate(ranked, none(f"array<{JUDGED}>"), step)
+
+
+def clear_of(asked: Column, base: Column) -> Column:
+    """The spans that overlap no base span, by start: one fold from the left leaves out those that begin
+    before an earlier base span ends, one from the right those that end after a later one begins."""
+    tagged = lambda spans, p: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), p(x).cast("double").alias("p")))
+    kind = "array<struct<s:int,e:int,k:int,p:double>>"
+    own = lambda x: x["p"] > 1  # noqa: E731  base spans are marked by 2
+
+    def from_left(end: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(own(x), F.greatest(end, x["e"])).otherwise(end), F.when(own(x) | (x["s"] >= end), F.array(x)).otherwise(none(kind))
+
+    def from_right(start: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(own(x), x["s"]).otherwise(start), F.when(~own(x) & (x["e"] <= start), F.array(x)).otherwise(none(kind))
+
+    both = F.array_sort(F.concat(tagged(base, lambda x: F.lit(2)), tagged(asked, lambda x: x["p"])))
+    return F.reverse(scan(F.reverse(scan(both, F.lit(0), from_left, kind)), F.lit(FAR), from_right, kind))
+
+
+def best_apart(spans: Column) -> Column:
+    """:func:`select_spans` for spans in order of start, run by run: those of different runs don't meet."""
+    item = "struct<s:int,e:int,k:int,p:double>"
+    end = F.struct(F.lit(FAR).alias("s"), F.lit(FAR).alias("e"), F.lit(0).alias("k"), F.lit(0.0).alias("p"))
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        new = x["s"] >= state["end"]
+        after = F.struct(F.greatest(state["end"], x["e"]).alias("end"), F.when(new, F.array(x)).otherwise(F.concat(state["run"], F.array(x))).alias("run"))
+        return after, F.when(new, F.array(state["run"])).otherwise(none(f"array<array<{item}>>"))
+
+    zero = F.struct(F.lit(0).alias("end"), none(f"array<{item}>").alias("run"))
+    runs = scan(F.concat(spans, F.array(end)), zero, step, f"array<array<{item}>>")
+    rank = lambda x: F.struct((-x["p"]).alias("rank"), x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["p"].alias("p"))
+    return F.flatten(F.transform(runs, lambda run: select_spans(F.array_sort(F.transform(run, rank)))))
 
 
 def detect(docs: DataFrame, text_col: str = "text", model=None) -> DataFrame:
-    """``docs`` with ``base`` and ``spans``, arrays of ``struct<k, s, e, p>``.
+    """``docs`` with ``base`` and ``spans``, arrays of ``struct<k, s, e, p>``, in place of columns of these names.
 
     k counts :data:`KINDS`; s and e are code points, e exclusive; p is the probability (1 for
     base spans). Null and empty texts have no spans; every row is judged alone, so repeated
     rows agree and an empty table gives no rows.
     """
     models, thresholds = model or train(docs.sparkSession)
-    text = text_of(text_col)
-    given = docs.columns
-    rows = docs.withColumn("_base", base_spans(text)).withColumn("_asked", F.when(text.rlike(r"[0-9@]|(?i)[\x20(\[{]at[\x20)\]}]"), proposals(text)).otherwise(F.expr("cast(array() as array<struct<k:int,s:int,e:int,bits:int>>)")))
+    given = Sheltered(docs)
+    text = text_of(given[text_col])
+    hints = text.rlike(r"[0-9@]|(?i)[\x20(\[{]at[\x20)\]}]")
+    rows = given.rows.withColumn("found", base_spans(text)).withColumn("asked", F.when(hints, proposals(text)).otherwise(none("array<struct<k:int,s:int,e:int,bits:int>>")))
+
     def score(x: Column) -> Column:
         p = F.lit(0.0)
         for k, trees in enumerate(models):
@@ -231,25 +300,23 @@ def detect(docs: DataFrame, text_col: str = "text", model=None) -> DataFrame:
             p = F.when(x["k"] == k, F.when(q >= thresholds[k], q).otherwise(0.0)).otherwise(p)
         return F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), p.alias("p"))
 
-    rows = rows.withColumn("_asked", F.filter(F.transform("_asked", score), lambda x: (x["p"] > 0) & ~F.exists("_base", lambda y: _overlap(x, y))))
-    ranked = F.array_sort(F.transform("_asked", lambda x: F.struct((-x["p"]).alias("rank"), x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["p"].alias("p"))))
-    added = select_spans(ranked)
-    base = F.transform("_base", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit(1.0).alias("p")))
-    return rows.withColumn("base", base).withColumn("spans", F.array_sort(F.concat("base", added))).select(*given, "base", "spans")
+    rows = rows.withColumn("likely", F.filter(F.transform("asked", score), lambda x: x["p"] > 0))
+    added = F.when(F.size("likely") > 0, best_apart(clear_of(F.col("likely"), F.col("found")))).otherwise(none(f"array<{JUDGED}>"))
+    base = F.transform("found", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit(1.0).alias("p")))
+    return rows.withColumn("base", base).withColumn("spans", F.array_sort(F.concat("base", added))).select(*given.back("base", "spans"), "base", "spans")
 
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
     name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc, x):
-        gap = F.substring(text, acc["at"] + 1, x["s"] - acc["at"])
-        grown = F.concat(acc["out"], F.array(gap, F.get(name, x["k"])))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] < acc["at"], acc["out"]).otherwise(grown).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        out = F.array(F.substring(text, at + 1, x["s"] - at), F.get(name, x["k"]))
+        return F.greatest(at, x["e"]), F.when(x["s"] < at, none("array<string>")).otherwise(out)
 
-    return F.aggregate(ordered, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
+    ends = F.aggregate(ordered, F.lit(0), lambda at, x: F.greatest(at, x["e"]))
+    return F.concat(F.array_join(scan(ordered, F.lit(0), step, "array<string>"), ""), F.substring(text, ends + 1, F.char_length(text)))
 
 
 def spell(spans: Column) -> Column:
