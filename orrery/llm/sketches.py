@@ -11,31 +11,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, sha256, table, text_of
+from ..functions.vectors import let
+from .common import WORD, Sheltered, sha256, stash, table, text_of
 
 #: Hashes are the upper 48 bits of XXH64, as positive longs.
 HASH_BITS = 48
-#: Neighbouring documents that are put in order by one task.
-BUCKET = 64
-#: Buckets whose order one task finds; the order of these groups is one window over few rows.
-BUCKETS = 4096
-
-
 def sketch(text: Column, k: int = 128, words: int = 5) -> Column:
     """``array<long>``: the ``k`` smallest distinct shingle hashes of a text, ascending.
 
     Words are runs outside [\\x20\\x09-\\x0D]; a shingle is ``words`` neighbouring words, fewer
-    words make one shingle, none make none (an empty sketch; so for null).
+    words make one shingle, none make none (an empty sketch; so for null and empty texts).
     """
-    found = F.regexp_extract_all(text, F.lit(f"({WORD})"))
-    return F.transform(F.array(found), lambda w: _hashes(w, words, k))[0]
+    hashed = F.transform(F.regexp_extract_all(text, F.lit(f"({WORD})")), lambda w: F.xxhash64(w))
+    return let(lambda w: _smallest(w, words, k), hashed)
+
 
+def _smallest(w: Column, words: int, k: int) -> Column:
+    n = F.size(w)
+    hashes = F.when(n >= words, shingles(w, words)).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<long>"))
+    return F.slice(F.sort_array(F.array_distinct(F.transform(hashes, _upper))), 1, k)
 
-def _hashes(w: Column, words: int, k: int) -> Column:
-    n = F.size(w) - words + 1
-    long = F.transform(F.sequence(F.lit(0), n - 1), lambda i: _upper(F.xxhash64(*[F.get(w, i + j) for j in range(words)])))
-    hashes = F.when(n >= 1, long).when(F.size(w) > 0, F.array(_upper(F.xxhash64(w)))).otherwise(F.array().cast("array<long>"))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)
+
+def shingles(w: Column, words: int) -> Column:
+    """A hash for each run of ``words`` neighbours in an array of hashes that has as many or more.
+
+    Runs of one, two, four, ... are hashed from two shorter ones beside each other, so a
+    run of n costs about 2 log(n) hashes of two numbers.
+    """
+    length, runs = 1, w  # runs of a power of two
+    built, out = 0, None  # the runs put together so far
+    while True:
+        if words & length:
+            out, built = (runs, length) if out is None else (let(lambda a, b: _beside(a, b, built), out, runs), built + length)  # noqa: B023
+        if built == words:
+            return out
+        runs, length = let(lambda a: _beside(a, a, length), runs), 2 * length  # noqa: B023
+
+
+def _beside(a: Column, b: Column, step: int) -> Column:
+    """A hash for each run in ``a`` with the run in ``b`` that begins ``step`` places on."""
+    later = F.slice(b, F.lit(step + 1), F.greatest(F.size(b) - step, F.lit(0)))
+    return F.zip_with(F.slice(a, F.lit(1), F.greatest(F.size(b) - step, F.lit(0))), later, lambda x, y: F.xxhash64(x, y))
 
 
 def _upper(h: Column) -> Column:
@@ -86,31 +102,51 @@ def fingerprint(a: Column) -> Column:
     return F.array_join(a.cast("array<string>"), " ")
 
 
-def with_next_text(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text, next_text)`` for rows ``(doc_id, text)``: the text next in order of ids, the
-    first one's after the last.
+def place_of(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are no larger than a value: a binary search."""
+    if not cuts:
+        return F.lit(0)
+    steps = F.lit([1 << i for i in reversed(range(len(cuts).bit_length()))])
+    listed = F.lit(cuts).cast("array<long>")
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(listed, at + step - 1) <= value, at + step).otherwise(at))
 
-    Rows of an equal id are put in order by text, null ids come first. Ids are dealt to
-    buckets of neighbouring ids, ordered inside each by a window; only the last of a bucket
-    looks for the first of the next bucket that has rows. No task orders all documents.
-    """
-    bucket = F.floor(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) / BUCKET)
-    rows = docs.select("doc_id", "text", bucket.alias("bucket")).repartition("bucket")
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    rows = rows.withColumn("next_text", F.lead("text").over(order))
-    heads = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).getField("text").alias("next_text"))
 
-    buckets = docs.select(bucket.alias("bucket")).distinct().withColumn("group", F.floor(F.col("bucket") / BUCKETS))
-    groups = buckets.groupBy("group").agg(F.min("bucket").alias("first"))
-    first = F.first("first").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    groups = groups.select("group", F.coalesce(F.lead("first").over(Window.orderBy("group")), first).alias("after"))
-    following = buckets.withColumn("follows", F.lead("bucket").over(Window.partitionBy("group").orderBy("bucket"))).join(groups, "group")
-    following = following.select("bucket", F.coalesce("follows", "after").alias("follows"))
+def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", derive=lambda rows: rows) -> DataFrame:
+    """Rows ``docs`` with ``next_<c>`` for each of ``columns``: its value in the row next in order of ids,
+    the first row's after the last.
 
-    inner = rows.where("next_text is not null").select("doc_id", "text", "next_text")
-    last = rows.where("next_text is null").drop("next_text").join(following, "bucket")
-    last = last.join(heads.withColumnRenamed("bucket", "follows"), "follows").select("doc_id", "text", "next_text")
-    return inner.unionByName(last)
+    Null ids come first. Rows of one id (or none) are put in order by a hash of their texts; repeated
+    rows follow each other. A single row is its own follower; an empty table gives no rows.
+
+    Rows are dealt to buckets between quantiles of the ids, eight a shuffle partition; null ids to as
+    many by their hash. The first row of a bucket goes to the bucket before as well, so
+    that a window over each bucket finds every follower, and texts are shuffled once. ``derive``
+    adds columns after that, once for each row.
+    """
+    s = Sheltered(docs)
+    id_, text = s.at(id_col), s.at(text_col)
+    hidden = "dealt"
+    while hidden in (c.lower() for c in docs.columns):
+        hidden += "_"
+    n = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = (n - 1).bit_length()
+    cuts = s.rows.agg(F.percentile_approx(F.col(id_).cast("long"), [i / n for i in range(1, n)], 10 * n)).first()[0]
+    sign = F.lit(-(1 << 63))
+    by_hash = F.shiftrightunsigned(F.col("order_hash").bitwiseXOR(sign), 64 - slices).cast("int") - F.lit(1 << slices)
+    bucket = F.when(F.col(id_).isNull(), by_hash).otherwise(place_of(F.col(id_).cast("long"), sorted(set(cuts or []))))
+    rows = s.rows.withColumn("order_hash", F.xxhash64(text_of(text))).withColumn("bucket", bucket)
+    key = F.struct(F.col(id_).alias("id"), F.col("order_hash").alias("hash"))
+    firsts = rows.groupBy("bucket").agg(F.min(key).alias("first"))
+    cyclic = Window.orderBy("bucket")  # a row for each bucket, of which there are as many as shuffle partitions times a constant
+    last = F.last("bucket").over(cyclic.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    firsts = stash(firsts.select("first", F.coalesce(F.lag("bucket").over(cyclic), last).alias("before")))
+    both = rows.join(F.broadcast(firsts), key.eqNullSafe(F.col("first")), "left")
+    own, ahead = F.struct(F.lit(0).alias("guest"), F.col("bucket").alias("at")), F.struct(F.lit(1).alias("guest"), F.col("before").alias("at"))
+    sent = both.select(*s.rows.columns, "order_hash", F.inline(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, ahead))))
+    place = F.struct("at", "guest", F.col(id_).alias("id"), F.col("order_hash").alias("hash")).alias(hidden)
+    dealt = derive(sent.repartition("at").select(*s.back(), place))
+    order = Window.partitionBy(f"{hidden}.at").orderBy(f"{hidden}.guest", F.col(f"{hidden}.id").asc_nulls_first(), f"{hidden}.hash")
+    return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(f"{hidden}.guest = 0").drop(hidden)
 
 
 def edit(text: Column, other: Column) -> Column:
@@ -123,11 +159,12 @@ def edit(text: Column, other: Column) -> Column:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest: every document beside its edited text and its follower."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    pairs = with_next_text(docs).withColumn("edited", edit(F.col("text"), F.col("next_text")))
-    made = pairs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), sha256(F.col("edited")).alias("edited_sha256"), *[sketch(F.col(c)).alias(s) for c, s in (("text", "own"), ("edited", "changed"), ("next_text", "following"))])
-    own, changed, following = F.col("own"), F.col("changed"), F.col("following")
-    return made.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(own).alias("fingerprint"), fingerprint(changed).alias("edited_fingerprint"),
+    pairs = with_next(docs, ["text", "own"], derive=lambda rows: rows.withColumn("own", sketch(F.col("text"))))
+    edited = edit(F.col("text"), F.col("next_text"))
+    both = pairs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "own", F.col("next_own").alias("following"), let(lambda t: F.struct(sha256(t).alias("digest"), sketch(t).alias("changed")), edited).alias("made"))
+    own, changed, following = F.col("own"), F.col("made.changed"), F.col("following")
+    return both.select(
+        "doc_id", "n_chars", F.col("made.digest").alias("edited_sha256"), fingerprint(own).alias("fingerprint"), fingerprint(changed).alias("edited_fingerprint"),
         resemblance(own, changed).alias("near_edited"), resemblance(own, following).alias("near_next"), distinct_shingles(own).alias("distinct_shingles"),
         containment(own, changed).alias("contained_in_edited"),
     )
