@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Sheltered, table
 
-#: Code points looked at together; longer texts are read in overlapping windows of this size.
+#: Code points of a text that are looked at together; what they leave over is carried on.
 WINDOW = 1 << 19
+#: Bits of a hash that one probe may take, and so the most cells of a filter as a power of two.
+PROBE_BITS = 21
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,7 +45,7 @@ class LanguageModel:
         at = np.uint64(len(masks) - 1)
         found = masks[grams & at]
         for i in range(1, self.probes):
-            found &= masks[(grams >> np.uint64(20 * i)) & at]
+            found &= masks[(grams >> np.uint64(PROBE_BITS * i)) & at]
         return found
 
     def scores(self, counts: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -63,12 +65,26 @@ def gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def code_points(text: str) -> np.ndarray:
-    """Lower-cased letters as code points; every run of others is one space, also at both ends."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), dtype="<u4")
-    letter = _letters(points)
-    keep = letter | np.concatenate([[True], letter[:-1]])
-    return np.where(letter, points, 32)[keep]
+def letter_runs(text: str) -> Iterator[np.ndarray]:
+    """A text's lower-cased letters as code points, window by window; every run of others is one space, also at both ends."""
+    after_letter = True
+    for i in range(0, len(text), WINDOW):
+        part = " " * (i == 0) + text[i : i + WINDOW].lower() + " " * (i + WINDOW >= len(text))
+        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        letter = _letters(points)
+        keep = letter | np.concatenate([[after_letter], letter[:-1]])
+        after_letter = bool(letter[-1])
+        points = np.where(points == 0x3C2, 0x3C3, points)  # a final sigma hangs on what follows, perhaps in the next window
+        yield np.where(letter, points, 32)[keep]
+
+
+def gram_runs(text: str, n: int) -> Iterator[np.ndarray]:
+    """The hashes of all n-grams of a whole text, each once, window by window."""
+    tail = np.zeros(0, dtype=np.int64)
+    for points in letter_runs(text):
+        points = np.concatenate([tail, points])
+        yield gram_hashes(points, n)
+        tail = points[max(0, len(points) - n + 1) :]
 
 
 def _letters(points: np.ndarray) -> np.ndarray:
@@ -88,8 +104,8 @@ def _count_grams(sample: DataFrame, n: int) -> DataFrame:
     def batches(it):
         for batch in it:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i in range(0, max(len(text), 1), WINDOW):
-                    grams, counts = np.unique(gram_hashes(code_points(text[max(0, i - n) : i + WINDOW]), n), return_counts=True)
+                for run in gram_runs(text, n):
+                    grams, counts = np.unique(run, return_counts=True)
                     yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "gram", "count"])
 
     return sample.mapInArrow(batches, "lang string, gram long, count long").groupBy("lang", "gram").agg(F.sum("count").alias("count"))
@@ -102,46 +118,48 @@ def held_out(id_col: str = "doc_id"):
 
 def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n: int = 3, max_docs: int = 1000,
-    max_grams: int = 5000, cells: int = 1 << 18, probes: int = 3,
+    coverage: float = 0.98, probes: int = 3,
 ) -> LanguageModel:
     """Learn from labelled documents that are not held out.
 
     ``max_docs`` bounds the labelled sample of a language (in expectation, chosen by a hash of
-    the id), ``max_grams`` the n-grams it keeps: its most frequent. All labels are learnt. Rows without id, text or label are left out.
+    the id; a documented bound of the fit). A language keeps its most frequent n-grams, as many
+    as make up the share ``coverage`` of its sample, however many those are; the filters have 32
+    cells or more for each n-gram of the language that keeps most, up to 2**21. All labels are
+    learnt. Rows without id, text or label are left out.
     """
-    if cells & (cells - 1) or cells > 1 << 20:
-        raise ValueError("cells must be a power of two up to 2**20")
-    usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    if not 1 <= probes * PROBE_BITS <= 64:
+        raise ValueError(f"probes must be from 1 to {64 // PROBE_BITS}")
+    s = Sheltered(docs)
+    usable = s.rows.select(s[id_col].alias("id"), s[text_col].cast("string").alias("text"), s[lang_col].cast("string").alias("lang"))
     usable = usable.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
-    number = {k: i for i, k in enumerate(languages)}
-    masks, fill = np.zeros((max(1, -(-len(languages) // 64)), cells), dtype=np.uint64), np.zeros(len(languages))
+    kept: dict[str, np.ndarray] = {}
     if languages:
-        shares = [(k, int(1e6 * min(1, max_docs / sizes[k]))) for k in languages]
-        share = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, _share int"))
-        picked = usable.join(share, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("_share")).where("text is not null")
-        ranked = _count_grams(picked.select("lang", "text"), n).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "gram")))
-        model = LanguageModel(languages, masks, fill, n, probes)
-        for row in ranked.where(F.col("rank") <= max_grams).groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect():
-            word, place = divmod(number[row["lang"]], 64)
-            bit = np.uint64(1 << place)
-            grams = np.array(row["grams"], dtype=np.int64).view(np.uint64)
-            for i in range(probes):
-                at = ((grams >> np.uint64(20 * i)) & np.uint64(cells - 1)).astype(np.int64)
-                masks[word, at] |= bit
-        for k in range(len(languages)):
-            fill[k] = float(((masks[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) ** probes
-        return model
+        shares = [(k, int(2**40 * min(1, max_docs / sizes[k]))) for k in languages]
+        share = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share long"))  # a row for each label
+        picked = usable.join(share, "lang").where(F.pmod(F.xxhash64("id"), F.lit(2**40)) < F.col("share")).where("text is not null")
+        own = Window.partitionBy("lang")
+        before = F.sum("count").over(own.orderBy(F.desc("count"), "gram").rowsBetween(Window.unboundedPreceding, -1))
+        ranked = _count_grams(picked.select("lang", "text"), n).select("lang", "gram", F.coalesce(before, F.lit(0)).alias("before"), F.sum("count").over(own).alias("total"))
+        found = ranked.where(F.col("before") < F.col("total") * coverage).groupBy("lang").agg(F.collect_list("gram").alias("grams"))
+        kept = {r["lang"]: np.array(r["grams"], dtype=np.int64).view(np.uint64) for r in found.collect()}
+    most = max(map(len, kept.values()), default=0)
+    cells = 1 << min(PROBE_BITS, max(16, (32 * most).bit_length()))
+    masks, fill = np.zeros((max(1, -(-len(languages) // 64)), cells), dtype=np.uint64), np.zeros(len(languages))
+    for k, lang in enumerate(languages):
+        bit = np.uint64(1 << k % 64)
+        for i in range(probes):
+            masks[k // 64, ((kept.get(lang, np.zeros(0, np.uint64)) >> np.uint64(PROBE_BITS * i)) & np.uint64(cells - 1)).astype(np.int64)] |= bit
+        fill[k] = float(((masks[k // 64] & bit) != 0).mean()) ** probes
     return LanguageModel(languages, masks, fill, n, probes)
 
 
 def popcounts(model: LanguageModel, text: str) -> tuple[np.ndarray, int]:
     """How many of a whole text's n-grams each language holds, and how many there are."""
     counts, total = np.zeros(len(model.languages), dtype=np.int64), 0
-    for i in range(0, len(text), WINDOW):
-        points = code_points(text[max(0, i - model.n + 1) : i + WINDOW])
-        grams = gram_hashes(points, model.n)
+    for grams in gram_runs(text, model.n):
         total += len(grams)
         for first in range(0, len(counts), 64):
             found = model.hits(grams, first // 64)
@@ -161,7 +179,7 @@ def judge_text(model: LanguageModel, text: str | None) -> tuple[str, float]:
 
 
 def classify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with two more columns, ``lang_pred`` and ``score``.
+    """``docs`` with two more columns, ``lang_pred`` and ``score``, in place of any of these names.
 
     ``und`` with score 0 if the text is null or has no letter, or if no language was
     learnt. The score is the share of the text's n-grams that the language holds. Ties go to
@@ -177,8 +195,9 @@ def classify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
     # a deterministic function would run twice where its result is filtered
-    judged = docs.withColumn("_judged", judge.asNondeterministic()(F.col(text_col).cast("string")))
-    return judged.select(*docs.columns, "_judged.lang_pred", "_judged.score")
+    s = Sheltered(docs)
+    judged = s.rows.withColumn("judged", judge.asNondeterministic()(s[text_col].cast("string")))
+    return judged.select(*s.back("lang_pred", "score"), "judged.lang_pred", "judged.score")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

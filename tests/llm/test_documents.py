@@ -92,26 +92,129 @@ def test_pii_long_text(spark):
     assert row.n >= 200
 
 
+def test_pii_many_spans_in_one_text(spark):
+    text = "10.0.0.1 and 415-555-2671 call; " * 20_000
+    row = pii.detect(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.size("base").alias("base"), F.size("spans").alias("all")).first()
+    assert row.base == 20_000 and row.all == 40_000
+
+
+PATTERNS = {
+    "has_at_sign": "@", "bracketed_at": r"[(\[{]\x20?at\x20?[)\]}]|&#64;", "bracketed_dot": r"[(\[{]\x20?dot\x20?[)\]}]", "spelled_at": r"\x20at\x20", "spelled_dot": r"\x20dot\x20",
+    "known_ending": r"(?i)(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|eu)$", "short_ending": r"[.\x20)\]}][A-Za-z]{2,6}$", "four_fours": r"^[0-9]{4}(?:[^0-9][0-9]{4}){3}$",
+    "in_brackets": r"^\(|^00[0-9]{1,3}[\x20.-]?\(", "three_three_four": r"^\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$", "leading_zero": r"^\(?0",
+    "looks_like_date": r"^(?:19|20)[0-9]{2}[\x20.-]|[\x20.-](?:19|20)[0-9]{2}$", "hex_groups": r"^(?:[0-9A-Fa-f]{1,4}:){7}",
+    "bracketed_octets": r"^O(?:\[\.\]O){3}$".replace("O", r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"),
+}
+CONTEXTS = {
+    "word_mail": r"(?i)e-?mail|contact|write|reach|adress|correo|courriel", "word_phone": r"(?i)(?<![a-z0-9])(?:tel|phone|call|fax|mobile|cell|ring|telefon|telephone)",
+    "word_card": r"(?i)card|visa|credit|debit|payment|karte|carte|tarjeta", "word_host": r"(?i)(?<![a-z0-9])ip(?![a-z0-9])|host|server|addr|client|peer|login",
+    "word_other": r"(?i)isbn|version|serial|order|invoice|page|chapter|section|part|model|sku|ref|id(?![a-z0-9])|no\.|grid|hash|key",
+}
+
+
+def features_of(m, before, after):
+    d = re.sub("[^0-9]", "", m)
+    special = {
+        "luhn": bool(d) and len(d) <= 64 and luhn(d), "one_separator": len(set(re.findall("[^0-9A-Fa-f]", m))) <= 1, "ten_digits": len(d) == 10, "phone_digits": 9 <= len(d) <= 15,
+        "number_near": bool(re.search("[0-9][^A-Za-z]{0,3}$", before) or re.search("^[^A-Za-z]{0,3}[0-9]", after)),
+    }
+    bits = 0
+    for i, (name, _) in enumerate(pii.FEATURES):
+        has = special[name] if name in special else re.search(PATTERNS[name], m) if name in PATTERNS else re.search(CONTEXTS[name], before)
+        bits |= bool(has) << i
+    return bits
+
+
+def all_spans_of(text, models, thresholds):
+    base = [(list(RX).index(k), int(s), int(e)) for k, s, e in (x.split(":") for x in base_of(text))]
+    asked = []
+    for k, kind in enumerate(RX):
+        for m in re.finditer(pii.PROPOSE[kind], text or ""):
+            p = models[k].probability(features_of(m.group(), text[max(0, m.start() - 32) : m.start()], text[m.end() : m.end() + 32]))
+            if p >= thresholds[k] and p > 0:
+                asked.append((-p, k, m.start(), m.end()))
+    kept = list(base)
+    for _, k, s, e in sorted(asked):
+        if all(e <= s2 or e2 <= s for _, s2, e2 in kept):
+            kept.append((k, s, e))
+    return ",".join(f"{list(RX)[k]}:{s}:{e}" for k, s, e in sorted(kept))
+
+
+def test_pii_added_spans(spark, odd):
+    models, thresholds = pii.train(spark)
+    extra = ["call 00415 555 2671 or (415) 555-2671-10.0.0.1, visa 4539.1488.0343.6467", "jane.doe at mail dot org 415-555-2671@x.org", "::1 1:2:3:4:5:6:7:8 host 1[.]2[.]3[.]4 a(at)b(dot)org"]
+    docs = docs_of(spark, odd) + docs_of(spark, SF) + list(enumerate(extra, 5000)) + [(6000 + i, e["text"]) for i, e in enumerate(pii.examples(400, seed=99))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = pii.detect(df, model=(models, thresholds)).select("doc_id", "text", pii.spell(F.col("spans")).alias("s")).collect()
+    want = Counter((i, t, all_spans_of(t, models, thresholds)) for i, t in docs)
+    assert Counter((r.doc_id, r.text, r.s) for r in got) == want
+    examples = pii.examples(400, seed=99)
+    added = {r.doc_id - 6000: r.s for r in got if r.doc_id is not None and r.doc_id >= 6000}
+    hit = [bool(added[i]) for i in range(400)]
+    true = sum(h for h, e in zip(hit, examples) if e["y"])
+    assert true >= 0.85 * sum(e["y"] for e in examples) and true >= 0.95 * sum(hit)
+
+
 # --- 4: sketches ------------------------------------------------------------------------
 
 
 @pytest.mark.parametrize("where", ["odd", "none", SF])
 def test_sketch_query(spark, where, request):
     d = where if where.startswith("/") else request.getfixturevalue(where)
-    docs = sorted(((i, t or "") for i, t in docs_of(spark, d)), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    docs = sorted(((i, t or "") for i, t in docs_of(spark, d)), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
+    own = {t: brute_sketch(t) for _, t in docs}
     want = []
     for k, (i, t) in enumerate(docs):
         n = docs[(k + 1) % len(docs)][1]
         h = len(t) // 2
-        want.append((str(i), len(t), sha(t[: len(t) - h] + n[:h])))
+        edited = t[: len(t) - h] + n[:h]
+        changed = brute_sketch(edited)
+        near = [round(brute_resemblance(own[t], x), 9) for x in (changed, own[n])]
+        want.append((str(i), len(t), sha(edited), " ".join(map(str, own[t])), " ".join(map(str, changed)), *near))
     got = sketches.op4(spark, d).collect()
-    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(want)
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
-    prints = defaultdict(set)
-    by_id = dict(docs)
-    for r in got:
-        prints[by_id[r.doc_id]].add(r.fingerprint)
-    assert all(len(x) == 1 for x in prints.values())
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == sorted(want)
+
+
+def chained(*hashes: int) -> int:
+    """XXH64 of numbers, each seeded by the hash of those before."""
+    h = 42
+    for x in hashes:
+        h = xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), h)
+    return h
+
+
+def brute_sketch(text, k=128):
+    w = [xxhash.xxh64_intdigest(x.encode(), 42) for x in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    two = [chained(a, b) for a, b in zip(w, w[1:])]
+    four = [chained(a, b) for a, b in zip(two, two[2:])]
+    five = [chained(a, b) for a, b in zip(w, four[1:])]
+    return sorted({h >> 16 for h in (five if len(w) >= 5 else [chained(*w)] if w else [])})[:k]
+
+
+def brute_resemblance(a, b, k=128):
+    union = sorted({*a, *b})[:k]
+    return len({*a} & {*b} & {*union}) / len(union) if union else 1.0
+
+
+def test_followers_of_scattered_and_repeated_ids(spark):
+    ids = [i << 40 for i in range(-50, 50)] + [7] * 60 + [None] * 80 + [3, 4, 5]
+    rows = [(i, f"t{k}" if k % 7 else "same", k) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bucket long").withColumn("dealt", F.lit(1))
+    got = sketches.with_next(docs, ["text"]).collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "bucket", "dealt", "next_text"}
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
+    want = Counter((r[0], r[1], s[1]) for r, s in zip(order, order[1:] + order[:1]))
+    assert Counter((r.doc_id, r.text, r.next_text) for r in got) == want and sorted(r.bucket for r in got) == list(range(len(ids)))
+
+
+def test_any_number_of_words(spark):
+    words = [f"w{i}" for i in range(40)]
+    df = spark.createDataFrame([(" ".join(words[:n]),) for n in (0, 1, 3, 7, 8, 40)], "t string")
+    for k in (1, 2, 3, 6, 7, 8):
+        sizes = [r.n for r in df.select(F.size(sketches.sketch(F.col("t"), 128, k)).alias("n")).collect()]
+        assert sizes == [0, 1, *[max(1, n - k + 1) for n in (3, 7, 8, 40)]]
 
 
 def test_sketch_estimates(spark):
@@ -191,6 +294,37 @@ def test_simhash_links_and_chains(spark):
     assert all(comp.get(i, i) == c for i, c in brute.items())
 
 
+def shingle_sets(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_alike_finds_texts_of_likeness(spark):
+    rng = np.random.default_rng(6)
+    rows, vocabulary = [], [f"word{i}" for i in range(3000)]
+    for i in range(150):  # a text and a copy with up to seven words replaced
+        words = [vocabulary[k] for k in rng.integers(0, 3000, int(rng.integers(4, 300)))]
+        copy = list(words)
+        for k in rng.integers(0, len(words), i % 8):
+            copy[k] = vocabulary[int(rng.integers(0, 3000))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    rows += [(1000, None), (1001, ""), (1002, " \n"), (1003, "one"), (1004, "ONE"), (None, "one"), (None, "two"), (0, rows[0][1])]
+    got = simhash.alike(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    parts = {r.doc_id: r.component_id for r in got if r.doc_id is not None}
+    sets = {i: shingle_sets(t) for i, t in rows[:300]}
+    near = [i for i in range(0, 300, 2) if likeness(sets[i], sets[i + 1]) >= 0.8]
+    assert len(near) > 60 and sum(parts[i + 1] == i for i in near) >= 0.97 * len(near)
+    assert all(parts[i + 1] == (i if i in near else i + 1) or i in near for i in range(0, 300, 2))
+    assert [parts[i] for i in range(1000, 1005)] == [1000, 1000, 1000, 1003, 1003]
+    assert Counter(r.component_id for r in got if r.doc_id is None) == {1003: 1, None: 1}
+    assert simhash.alike(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 # --- 6: mixing --------------------------------------------------------------------------
 
 
@@ -292,11 +426,23 @@ def test_line_dedup(spark, where, batches, request):
 
 
 def test_runs_are_compacted(spark):
-    runs = linededup.LineRuns(fanout=2)
-    for i in range(5):
-        runs.add(spark.createDataFrame([(h, 0, 10 * i + h) for h in range(i + 2)], "h1 long, h2 long, did long"))
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
+    batch = lambda i: spark.createDataFrame([(h, 0, 10 * i + h) for h in range(i + 2)], "h1 long, h2 long, did long")
+    runs = linededup.LineRuns(spark, fanout=2)
+    with linededup.sorted_buckets(spark):
+        for i in range(5):
+            runs.add(batch(i))
+        assert [len(x) for x in runs.levels] == [1, 0, 1]
+        # a batch is dealt out and sorted once; the runs are read as they lie
+        found = plan(runs.fresh(batch(5)))
+        assert found.count("SortMergeJoin") == 2 and found.count("Exchange") == 1 and found.count("Sort ") == 1
+        found = plan(runs.merged(runs.runs()))
+        assert found.count("SortMergeJoin") == 1 and "Exchange" not in found and "Sort " not in found
     assert sorted((r.h1, r.owner) for r in runs.owners().collect()) == [(0, 0), (1, 1), (2, 12), (3, 23), (4, 34), (5, 45)]
+    runs.close()
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_pii_spans_give_way_to_selected_ones_only(spark):
@@ -345,10 +491,70 @@ def test_language_false_hits_are_taken_out():
     assert share < 0.02
 
 
-def test_clashing_and_extra_columns(spark):
-    df = frame(spark).withColumn("size", F.lit(1)).withColumn("part", F.lit("p")).withColumn("fp", F.lit("z")).withColumn("score", F.lit("s")).withColumn("line", F.lit(2)).withColumn("bucket", F.lit(3)).withColumn("base_", F.lit(0))
-    assert simhash.near_duplicates(df).count() == len(TEXTS)
-    assert mixing.mix(df).count() == len(TEXTS)
-    assert packing.pack(df).where("start = 0").count() == len(TEXTS)
-    assert linededup.drop_repeated_lines(df).count() == len(TEXTS)
-    assert pii.detect(df).count() == len(TEXTS)
+def whole_grams(text, n=3):
+    """All n-grams of a text at once, as strings."""
+    out = " "
+    for c in text.lower().replace("ς", "σ") + " ":
+        if c.isalpha():
+            out += c
+        elif out[-1] != " ":
+            out += " "
+    return [out[i : i + n] for i in range(len(out) - n + 1)]
+
+
+def test_language_id_against_sets(spark, monkeypatch):
+    """Filters against exact sets of n-grams; a small window leaves everything as it is."""
+    docs = table(spark, SF, "documents")
+    model = langid.train(docs, max_docs=10**6)
+    kept = {}
+    for lang in model.languages:
+        rows = docs.where(F.col("lang") == lang).where(~langid.held_out()).where("text is not null").collect()
+        counts = Counter(g for r in rows for g in whole_grams(r.text))
+        code = lambda g: int(langid.gram_hashes(np.array([ord(c) for c in g]), 3)[0].astype(np.int64))
+        kept[lang], seen = set(), 0
+        for g, c in sorted(counts.items(), key=lambda x: (-x[1], code(x[0]))):
+            if seen < 0.98 * sum(counts.values()):
+                kept[lang].add(g)
+            seen += c
+    for r in langid.classify(docs, model).collect():
+        grams = whole_grams(r.text or "")
+        if not r.text or not any(map(str.isalpha, r.text)):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        share = {k: sum(g in kept[k] for g in grams) / len(grams) for k in model.languages}
+        assert abs(share[r.lang_pred] - max(share.values())) < 0.02 and abs(r.score - max(share.values())) < 0.02
+    text = "Ὀδυσσεύς  ab12cd İx straße ΣΑΣ—ς " * 50
+    before = langid.popcounts(model, text)
+    for window in (1, 7, 64):
+        monkeypatch.setattr(langid, "WINDOW", window)
+        after = langid.popcounts(model, text)
+        assert after[1] == before[1] and (after[0] == before[0]).all()
+
+
+@pytest.mark.parametrize("name", ["language_id", "line_dedup", "pii", "with_next"])
+def test_columns_of_any_name_keep_their_values(spark, name):
+    run = {
+        "language_id": lambda df: langid.classify(df, langid.train(df)),
+        "line_dedup": linededup.drop_repeated_lines,
+        "pii": pii.detect,
+        "with_next": lambda df: sketches.with_next(df, ["text"]),
+    }[name]
+    own = {"language_id": {"lang_pred", "score"}, "line_dedup": {"kept_text", "n_lines", "n_dropped"}, "pii": {"base", "spans"}, "with_next": {"next_text"}}[name]
+    df = frame(spark)
+    extra = [*{*run(df).columns} - {*df.columns}, "judged", "did", "row", "parts", "gone", "found", "asked", "likely", "given_0", "at", "dealt", "bucket", "order_hash", "Base_", "_row", "_text", "a.b"]
+    marked = df.withColumns({c: F.lit(f"mark {c}") for c in extra})
+    got = run(marked)
+    assert sorted(got.columns) == sorted(marked.columns)
+    for c in set(extra) - own:
+        assert {r[0] for r in got.select(F.col(f"`{c}`")).collect()} == {f"mark {c}"}
+    plain = Counter(map(str, run(df).select(*sorted(run(df).columns)).collect()))
+    assert Counter(map(str, got.select(*sorted(run(df).columns)).collect())) == plain
+
+
+def test_extra_columns_change_nothing(spark):
+    names = ["size", "part", "fp", "sig", "score", "line", "node", "source_size", "taken", "row_hash", "order", "stratum", "before", "n", "ids", "key", "host", "rank", "layout"]
+    df, more = frame(spark), frame(spark).withColumns({c: F.lit("x") for c in names})
+    for run in (simhash.near_duplicates, simhash.alike, mixing.mix):
+        assert rows_of(run(df)) == rows_of(run(more))
+    total = lambda rows: packing.pack(rows).agg(F.sum("length")).first()[0]
+    assert total(df) == total(more)
