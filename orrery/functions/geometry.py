@@ -114,6 +114,15 @@ def rectangles_overlap(a: Column, b: Column) -> Column:
     return (a["u0"] < b["u1"]) & (b["u0"] < a["u1"]) & (a["v0"] < b["v1"]) & (b["v0"] < a["v1"])
 
 
+def rectangle_box(axis: str, at, low_u, low_v, high_u, high_v) -> Column:
+    """A rectangle at right angles to an axis, as a box without extent along it; box and ray functions take it as such.
+
+    u and v are the two other axes in order.
+    """
+    corner = lambda u, w: v.with_axis(F.struct(v.col(u).cast("double").alias("u"), v.col(w).cast("double").alias("v")), axis, v.col(at))
+    return box(corner(low_u, low_v), corner(high_u, high_v))
+
+
 # --- rays -------------------------------------------------------------------------------
 
 
@@ -419,3 +428,17 @@ def project(point: Column, intrinsics: Column, height: int, width: int, k1: floa
     seen = (point["z"] > 0) & (x >= 0) & (y >= 0) & (x < width) & (y < height)
     off = F.struct(F.lit(-1.0).alias("x"), F.lit(-1.0).alias("y"))
     return F.when(seen, F.struct(x.alias("x"), y.alias("y"))).otherwise(off)
+
+
+@v.bound
+def project_radial(point: Column, focal, cx, cy, k1) -> Column:
+    """``struct<x, y>`` in pixels of a point in the camera's frame, by one focal length and one radial term; null behind the camera."""
+    u, w = F.try_divide(point["x"], point["z"]), F.try_divide(point["y"], point["z"])
+    bend = v.col(focal) * (1 + v.col(k1) * (u * u + w * w))
+    return F.when(point["z"] > 0, F.struct((bend * u + v.col(cx)).alias("x"), (bend * w + v.col(cy)).alias("y")))
+
+
+def chain(poses: Column) -> Column:
+    """The product of an array of poses, the first one applied first; that of no move if it is empty."""
+    none = pose(v.mat(*[F.lit(float(i % 4 == 0)) for i in range(9)]), v.vec(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
+    return F.aggregate(poses, none, lambda done, p: pose_mul(p, done))

@@ -89,9 +89,18 @@ def boxes_meeting(a: DataFrame, b: DataFrame, base: float | None = None, strict:
     return met.where(test & (corner == F.col("cell"))).select("a_id", "b_id")
 
 
+def count_points(points: DataFrame, boxes: DataFrame, base: float | None = None) -> DataFrame:
+    """``(box_id, n)``: how many points each box holds (closed), for boxes that hold any.
+
+    Points at one position are counted together before they meet boxes, so a crowded place is one row.
+    """
+    places = points.where("pos is not null").groupBy("pos").agg(F.count("*").alias("n")).select(F.struct("pos", "n").alias("id"), "pos")
+    return points_in_boxes(places, boxes, base).groupBy("box_id").agg(F.sum("point_id.n").alias("n"))
+
+
 def any_in_box(boxes: DataFrame, points: DataFrame) -> DataFrame:
     """The boxes that hold a point."""
-    hits = points_in_boxes(points, boxes).select(F.col("box_id").alias("id")).distinct()
+    hits = points_in_boxes(points.select(F.col("pos").alias("id"), "pos").distinct(), boxes).select(F.col("box_id").alias("id")).distinct()
     return boxes.join(hits, "id", "left_semi")
 
 
@@ -153,38 +162,75 @@ def nearest_triangle(points: DataFrame, triangles: DataFrame, max_distance: floa
     return best.select("point_id", F.col("b.box_id").alias("triangle_id"), "b.distance")
 
 
-def ray_hits(rays: DataFrame, triangles: DataFrame, size: float | None = None, first_only: bool = True, max_distance: float | None = None) -> DataFrame:
-    """``(ray_id, triangle_id, distance)``: the triangles that rays ``(id, ray)`` hit, or the first of each.
+@v.bound
+def cells_along(r: Column, start: Column, stop: Column, size: float) -> Column:
+    """``array<struct<i, j, k>>``: the grid cells that a ray crosses between two distances, in order.
 
-    A ray is cut where it leaves the triangles' bounding box, and filed under the cells that its
-    pieces of one cell size meet; triangles are filed under the cells of their boxes.
+    The distances at which it crosses a face of the grid, in order, cut it into pieces of one cell each.
+    """
+    none = F.array().cast("array<double>")
+    faces = []
+    for a in v.AXES:
+        o, d = r["origin"][a], r["direction"][a]
+        ends = (o + d * start) / size, (o + d * stop) / size
+        low, high = F.floor(F.least(*ends)) + 1, F.floor(F.greatest(*ends))
+        crossed = F.transform(F.sequence(low, high), lambda k: F.greatest(start, F.least(stop, (k * size - o) / d)))  # noqa: B023
+        faces.append(F.when((d != 0) & (low <= high), crossed).otherwise(none))
+    times = F.array_sort(F.concat(F.array(start), *faces))
+    ends = v.let(lambda t: F.zip_with(t, F.concat(F.slice(t, 2, F.size(t)), F.array(stop)), lambda x, y: (x + y) / 2), times)
+    return F.transform(ends, lambda t: cell(v.add(r["origin"], v.scale(r["direction"], t)), size))
+
+
+def _along(rays: DataFrame, boxes: DataFrame, size: float | None, max_distance: float | None, kept: list[str]) -> DataFrame | None:
+    """Rays ``(ray_id, ray)`` beside the rows of ``boxes`` (box and the columns ``kept``) with which they share a cell.
+
+    A ray is cut where it leaves the bounding box of all boxes, and filed under the cells that it
+    crosses; boxes are filed under the cells they meet, with some slack for rounding. A pair
+    may come for each cell. None if there is no box.
     """
-    boxes = triangles.where("tri is not null").select(F.col("id").alias("triangle_id"), "tri", g.triangle_box(F.col("tri")).alias("box"))
     ends = boxes.agg(*[F.min(F.col("box.min")[a]).alias(f"low{a}") for a in v.AXES], *[F.max(F.col("box.max")[a]).alias(f"high{a}") for a in v.AXES], F.avg(v.largest(g.box_size(F.col("box")))).alias("mean")).first()
     if ends["lowx"] is None:
-        return rays.select(F.col("id").alias("ray_id")).join(boxes.select("triangle_id"), F.lit(False)).withColumn("distance", F.lit(0.0))
+        return None
     size = size or float(ends["mean"] or 1.0) or 1.0
-    scene = g.box(v.vec(*[ends[f"low{a}"] for a in v.AXES]), v.vec(*[ends[f"high{a}"] for a in v.AXES]))
-    span = g.slab(F.col("ray"), scene)
-    inside = rays.select(F.col("id").alias("ray_id"), "ray", span["near"].alias("near"), span["far"].alias("far")).where("far >= 0 and near <= far + 1e-9")
-    start, stop = F.greatest(F.col("near"), F.lit(0.0)), F.col("far") if max_distance is None else F.least(F.col("far"), F.lit(max_distance))
-    n = F.greatest(F.ceil((stop - start) / F.lit(size)), F.lit(1)).cast("int")
-    along = lambda t: v.add(F.col("ray.origin"), v.scale(F.col("ray.direction"), t))
     slack = F.lit(size * 1e-6)
+    grown = lambda b: g.box(v.each(lambda x: x - slack, b["min"]), v.each(lambda x: x + slack, b["max"]))
+    scene = grown(g.box(v.vec(*[ends[f"low{a}"] for a in v.AXES]), v.vec(*[ends[f"high{a}"] for a in v.AXES])))
+    span = g.slab(F.col("ray"), scene)
+    inside = rays.select(F.col("id").alias("ray_id"), "ray", span.alias("span")).where("span.far >= 0 and span.near <= span.far")
+    start = F.greatest(F.col("span.near"), F.lit(0.0))
+    stop = F.col("span.far") if max_distance is None else F.least(F.col("span.far"), F.lit(float(max_distance)))
+    walked = inside.select("ray_id", "ray", start.alias("start"), stop.alias("stop")).where("start <= stop")
+    walked = walked.select("ray_id", "ray", F.explode(cells_along(F.col("ray"), F.col("start"), F.col("stop"), size)).alias("cell"))
+    filed = boxes.select(*kept, F.explode(cells_of_box(grown(F.col("box")), size)).alias("cell"))
+    return walked.join(filed, "cell")
+
 
-    def piece(i):
-        a, b = along(start + i * size), along(F.least(start + (i + 1) * size, stop))
-        return cells_of_box(g.box(v.each(lambda x, y: F.least(x, y) - slack, a, b), v.each(lambda x, y: F.greatest(x, y) + slack, a, b)), size)
+def _first(met: DataFrame, key: str) -> DataFrame:
+    best = met.groupBy("ray_id").agg(F.min(F.struct("distance", key)).alias("b"))
+    return best.select("ray_id", f"b.{key}", "b.distance")
 
-    walked = inside.where(stop >= start).select("ray_id", "ray", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), piece)))).alias("cell"))
-    filed = boxes.select("triangle_id", "tri", F.explode(cells_of_box(F.col("box"), size)).alias("cell"))
-    met = walked.join(filed, "cell").withColumn("distance", g.ray_triangle(F.col("ray"), F.col("tri"))).where("distance is not null")
+
+def ray_hits(rays: DataFrame, triangles: DataFrame, size: float | None = None, first_only: bool = True, max_distance: float | None = None) -> DataFrame:
+    """``(ray_id, triangle_id, distance)``: the triangles that rays ``(id, ray)`` hit, or the first of each."""
+    filed = triangles.where("tri is not null").select(F.col("id").alias("triangle_id"), "tri", g.triangle_box(F.col("tri")).alias("box"))
+    met = _along(rays, filed, size, max_distance, ["triangle_id", "tri"])
+    if met is None:
+        return rays.select(F.col("id").alias("ray_id")).join(filed.select("triangle_id"), F.lit(False)).withColumn("distance", F.lit(0.0))
+    met = met.select("ray_id", "triangle_id", g.ray_triangle(F.col("ray"), F.col("tri")).alias("distance")).where("distance is not null")
     if max_distance is not None:
         met = met.where(F.col("distance") <= max_distance)
-    if first_only:
-        best = met.groupBy("ray_id").agg(F.min(F.struct("distance", "triangle_id")).alias("b"))
-        return best.select("ray_id", "b.triangle_id", "b.distance")
-    return met.select("ray_id", "triangle_id", "distance").dropDuplicates(["ray_id", "triangle_id"])
+    return _first(met, "triangle_id") if first_only else met.dropDuplicates(["ray_id", "triangle_id"])
+
+
+def rays_through_boxes(rays: DataFrame, boxes: DataFrame, size: float | None = None, first_only: bool = False) -> DataFrame:
+    """``(ray_id, box_id, distance)``: the boxes (closed) that rays meet, or the first of each, at the distance
+    of entry, or of exit for a ray that begins inside."""
+    filed = boxes.where("box is not null").select(F.col("id").alias("box_id"), "box")
+    met = _along(rays, filed, size, None, ["box_id", "box"])
+    if met is None:
+        return rays.select(F.col("id").alias("ray_id")).join(filed.select("box_id"), F.lit(False)).withColumn("distance", F.lit(0.0))
+    met = met.select("ray_id", "box_id", F.get(g.ray_box_hits(F.col("ray"), F.col("box")), F.lit(0)).alias("distance")).where("distance is not null")
+    return _first(met, "box_id") if first_only else met.dropDuplicates(["ray_id", "box_id"])
 
 
 def clip_boxes(boxes: DataFrame, cutters: DataFrame) -> DataFrame:

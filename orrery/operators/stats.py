@@ -11,6 +11,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import geometry as g
+from ..functions import vectors as v
+from ..storage import stash
 
 STATE = ("n", "mean", "variance", "min", "max")
 
@@ -66,28 +71,97 @@ def circular(angle) -> list[Column]:
 
 
 def circular_running(rows: DataFrame, angle, order, by: list[str] | None = None) -> DataFrame:
-    """The running mean by shortest differences, in a given order; a fold over one group's ordered values.
+    """``(by, n, mean, variance)``: the running mean by shortest differences, in a given order.
 
-    Depends on the order, so a group is folded in one task. For large groups use :func:`circular`.
+    It depends on the order, so a group is one ordered pass of one task, which holds a state and a batch of
+    rows at a time, however large the group. Where order needn't matter use :func:`circular`.
     """
-    item = F.struct(c(order).alias("ord"), c(angle).cast("double").alias("a"))
-    turn = 2 * math.pi
-
-    def step(acc, x):
-        d = x["a"] - acc["mean"]
-        d = F.when(d > math.pi, d - turn).when(d < -math.pi, d + turn).otherwise(d)
-        return F.struct((acc["n"] + 1).alias("n"), (acc["mean"] + d / (acc["n"] + 1)).alias("mean"), (acc["m2"] + d * d * acc["n"] / (acc["n"] + 1)).alias("m2"))
-
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
-    folded = F.aggregate(F.array_sort(F.collect_list(item)), start, step).alias("s")
-    variance = F.when(F.col("s.n") > 1, F.col("s.m2") / (F.col("s.n") - 1)).otherwise(0.0)
-    return rows.where(c(angle).isNotNull()).groupBy(*(by or [])).agg(folded).select(*(by or []), "s.n", "s.mean", variance.alias("variance"))
+    by = by or []
+    keys = [f"k{i}" for i in range(len(by))]
+    held = rows.where(c(angle).isNotNull()).select(*[F.col(k).alias(x) for k, x in zip(by, keys)], c(order).alias("ord"), c(angle).cast("double").alias("angle"))
+    dealt = (held.repartition(*keys) if keys else held.repartition(1)).sortWithinPartitions(*keys, "ord", "angle")
+    types = T.StructType([held.schema[k] for k in keys])
+    out = T.StructType([*types, T.StructField("n", T.LongType()), T.StructField("mean", T.DoubleType()), T.StructField("variance", T.DoubleType())])
+
+    def fold(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(out)
+        key, state = None, (0, 0.0, 0.0)
+
+        def done():
+            n, mean, m2 = state
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, [*key, n, mean, m2 / (n - 1) if n > 1 else 0.0]))], schema=schema)
+
+        for batch in batches:
+            own = zip(*(batch.column(i).to_pylist() for i in range(len(keys)))) if keys else iter(lambda: (), None)
+            for k, x in zip(own, batch.column(len(keys) + 1).to_pylist()):
+                if key is not None and k != key:
+                    yield done()
+                if k != key:
+                    key, state = k, (0, 0.0, 0.0)
+                n, mean, m2 = state
+                d = x - mean
+                d += -2 * math.pi if d > math.pi else 2 * math.pi if d < -math.pi else 0.0
+                state = n + 1, mean + d / (n + 1), m2 + d * d * n / (n + 1)
+        if key is not None:
+            yield done()
+
+    found = dealt.mapInArrow(fold, out)
+    return found.select(*[F.col(x).alias(k) for k, x in zip(by, keys)], "n", "mean", "variance")
+
+
+def circular_vector(vector) -> list[Column]:
+    """:func:`circular` of each component of a vector of angles, as ``x_mean``, ``x_resultant``, ..."""
+    return [a.alias(f"{axis}_{name}") for axis in "xyz" for a, name in zip(circular(c(vector)[axis]), ("mean", "resultant"))]
+
+
+def pose_stats(rows: DataFrame, pose: str = "pose", by: list[str] | None = None) -> DataFrame:
+    """``(by, n, position, position_variance, angles, resultant, mean)``: statistics of poses.
+
+    Positions have a mean and a sample variance (0 for one pose) by component, Euler angles a circular mean
+    and a resultant length; ``mean`` is the pose of both means.
+    """
+    p = F.col(pose)
+    held = rows.where(p.isNotNull()).withColumns({"_at": g.pose_position(p), "_turn": v.euler_from_matrix(g.pose_rotation(p))})
+    position, turn = F.col("_at"), F.col("_turn")
+    gather = lambda f: v.vec(*[f(a) for a in v.AXES])
+    found = held.groupBy(*(by or [])).agg(
+        F.count("*").alias("n"),
+        gather(lambda a: F.avg(position[a])).alias("position"),
+        gather(lambda a: F.coalesce(F.var_samp(position[a]), F.lit(0.0))).alias("position_variance"),
+        gather(lambda a: circular(turn[a])[0]).alias("angles"),
+        gather(lambda a: circular(turn[a])[1]).alias("resultant"),
+    )
+    found = found.where("n > 0")
+    return found.withColumn("mean", g.pose(v.matrix_from_euler(F.col("angles")), F.col("position")))
 
 
 def weighted_mean(value, weight) -> Column:
     return F.try_divide(F.sum(c(value) * c(weight)), F.sum(c(weight)))
 
 
+def mean_vector(vector, weight=None) -> Column:
+    """The mean of a vector column by component, weighted if a weight is given."""
+    w = F.lit(1.0) if weight is None else c(weight)
+    return v.vec(*[weighted_mean(c(vector)[a], w) for a in v.AXES])
+
+
+def median_vector(vector) -> Column:
+    """The median of each component."""
+    return v.vec(*[F.median(c(vector)[a]) for a in v.AXES])
+
+
+def weighted_median_vector(rows: DataFrame, vector: str, weight: str, by: list[str] | None = None) -> DataFrame:
+    """``(by, median)``: :func:`weighted_median` of each component."""
+    by = by or []
+    long = rows.select(*by, F.col(weight).alias("_weight"), F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(vector)[a].alias("value")) for a in v.AXES])).alias("_e"))
+    found = weighted_median(long.select(*by, "_weight", F.col("_e.axis").alias("_axis"), F.col("_e.value").alias("_value")), "_value", "_weight", [*by, "_axis"])
+    axis = lambda a: F.max(F.when(F.col("_axis") == a, F.col("median")))
+    return found.groupBy(*by).agg(v.vec(*[axis(a) for a in v.AXES]).alias("median"))
+
+
 def rmse(error) -> Column:
     return F.sqrt(F.avg(c(error) * c(error)))
 
@@ -100,14 +174,24 @@ def median_rounded(value) -> Column:
 def weighted_median(rows: DataFrame, value: str, weight: str, by: list[str] | None = None) -> DataFrame:
     """``(by, median)``: the least value at which the running weight reaches half of the total.
 
-    Weights are first summed for each value, so a group's window holds its distinct values only.
+    Weights are first summed for each value. Distinct values are dealt to ranges; a prefix sum over the
+    ranges' weights (a row for each range of a group) finds the range of the median, and only
+    that one is summed value by value. So no task holds a group.
     """
     by = by or []
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sums = rows.where(F.col(value).isNotNull() & F.col(weight).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.sum(weight).alias("_w"))
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    front = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    reached = sums.withColumn("_run", F.sum("_w").over(front)).withColumn("_all", F.sum("_w").over(whole)).where(F.col("_run") * 2 >= F.col("_all"))
-    return reached.groupBy(*by).agg(F.min("_v").alias("median"))
+    # written once, since a range's number must be the same for its weight and its values
+    ranged = stash(sums.repartitionByRange(n, *by, "_v").withColumn("_range", F.spark_partition_id()))
+    group = Window.partitionBy(*by) if by else Window.partitionBy()
+    parts = ranged.groupBy(*by, "_range").agg(F.sum("_w").alias("_part"))  # a row for each range of a group
+    parts = parts.withColumns({"_to": F.sum("_part").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_part").over(group)})
+    held = parts.where((F.col("_to") * 2 >= F.col("_all")) & ((F.col("_to") - F.col("_part")) * 2 < F.col("_all")))
+    held = held.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_range").alias("_held"), (F.col("_to") - F.col("_part")).alias("_before"), "_all")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)], F.col("_range") == F.col("_held"))
+    front = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    run = ranged.join(held, same).withColumn("_run", F.sum("_w").over(front) + F.col("_before"))
+    return run.where(F.col("_run") * 2 >= F.col("_all")).groupBy(*by).agg(F.min("_v").alias("median"))
 
 
 # --- extremes ---------------------------------------------------------------------------

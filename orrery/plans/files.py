@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import vectors as v
 from ..operators import binning
+from ..operators.collections import with_ordinal
 from ..registry import query, table
-from ..sources import lines, ply, points, poses
+from ..sources import bundle, lines, ply, points, poses
 from ..storage import work_dir
 from .spatial import points as embedded
 from .spatial import terrain
@@ -71,3 +72,34 @@ def file_ply(spark, d):
     v_back, f_back = ply.read_ply(spark, at, columns=["x", "z"]), ply.read_ply(spark, at, "face")
     both = f_back.join(v_back, F.col("v1") == F.col("vertex_id"))
     return both.select("face_id", "v1", F.round("x", 9).alias("x"), F.round("z", 9).alias("z"))
+
+
+ROUND = "round(CAST({} AS DOUBLE), 9)"
+
+
+@query("file_bundle", f"""
+WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS idx, {ROUND.format('embedding[1]')} AS x, {ROUND.format('embedding[3]')} AS z, {ROUND.format('cos(embedding[1]::DOUBLE)')} AS r00 FROM embeddings)
+SELECT 'camera' AS kind, idx, x, z, r00 AS other FROM p WHERE vec_id % 50 = 0 UNION ALL SELECT 'point', idx, x, z, CAST(vec_id % 256 AS DOUBLE) FROM p""".replace("SELECT 'camera' AS kind, idx", "SELECT 'camera' AS kind, row_number() OVER (ORDER BY vec_id) - 1 AS idx"))
+def file_bundle(spark, d):
+    p = F.col("pos")
+    rows = embedded(spark, d)
+    ranked = lambda df: with_ordinal(df, ["id"], "idx")
+    cameras = ranked(rows.where("id % 50 = 0")).select("idx", F.lit(500.0).alias("focal"), F.lit(0.0).alias("k1"), F.lit(0.0).alias("k2"), g.pose(v.rotation_z(p["x"]), p).alias("pose"))
+    dots = ranked(rows).select("idx", "pos", F.struct(*[(F.col("id") % 256).cast("short").alias(k) for k in "rgb"]).alias("color"))
+    bundle.write_bundle(cameras, dots, at := place(spark, "bundle"))
+    seen = bundle.read_bundle_cameras(spark, at)
+    at_ = lambda a: F.round(g.pose_position(F.col("pose"))[a], 9).alias(a)
+    seen = seen.select(F.lit("camera").alias("kind"), "idx", at_("x"), at_("z"), F.round(F.get("pose", F.lit(0)), 9).alias("other"))
+    back = bundle.read_bundle_points(spark, at)
+    return seen.unionByName(back.select(F.lit("point").alias("kind"), "idx", F.round("pos.x", 9).alias("x"), F.round("pos.z", 9).alias("z"), F.col("color.r").cast("double").alias("other")))
+
+
+@query("file_sfm", f"SELECT vec_id AS image_id, {ROUND.format('embedding[2]')} AS y, {ROUND.format('cos(embedding[1]::DOUBLE)')} AS r00, 640 AS width FROM embeddings")
+def file_sfm(spark, d):
+    p = F.col("pos")
+    images = embedded(spark, d).select(F.col("id").alias("image_id"), F.lit(1).alias("camera_id"), F.concat(F.lit("image"), "id").alias("name"), g.pose(v.rotation_z(p["x"]), p).alias("pose"))
+    lens = F.struct(*[F.lit(x).alias(k) for k, x in (("fx", 500.0), ("fy", 500.0), ("cx", 320.0), ("cy", 240.0))]).alias("intrinsics")
+    cameras = spark.range(1).select(F.lit(1).alias("camera_id"), F.lit(640).alias("width"), F.lit(480).alias("height"), lens)
+    bundle.write_sfm(images, cameras, at := place(spark, "sfm"))
+    back = poses.trajectory(poses.read_images(spark, f"{at}/images"), poses.read_cameras(spark, f"{at}/cameras"))
+    return back.select(F.col("image_id").cast("long").alias("image_id"), F.round(g.pose_position(F.col("pose"))["y"], 9).alias("y"), F.round(F.get("pose", F.lit(0)), 9).alias("r00"), "width")

@@ -75,7 +75,18 @@ def hysteresis_3d(spark, d):
     return grid.hysteresis(cells(spark, d), 28, 30)
 
 
-@query("canny_3d")
+#: The filters above one after another: smoothed cells take the place of the given ones.
+MIDDLE = "CASE {0} WHEN 0 THEN mid ELSE side END"
+SMOOTHED = f"""kern AS (SELECT exp(-1 / (2 * 0.8 * 0.8)) / (1 + 2 * exp(-1 / (2 * 0.8 * 0.8))) AS side, 1 / (1 + 2 * exp(-1 / (2 * 0.8 * 0.8))) AS mid),
+sm AS (SELECT x - dx AS x, y - dy AS y, z - dz AS z, sum(v * {MIDDLE.format('dx')} * {MIDDLE.format('dy')} * {MIDDLE.format('dz')}) AS v FROM g, d, kern
+    WHERE x - dx BETWEEN 0 AND 25 AND y - dy BETWEEN 0 AND 10 AND z - dz BETWEEN 0 AND 8 GROUP BY 1, 2, 3)"""
+CANNY = SUPPRESSED.replace("WITH ", "WITH RECURSIVE ", 1).replace(", s AS (", f", {SMOOTHED}, s AS (", 1).replace("v FROM g, d WHERE", "v FROM sm, d WHERE", 1)
+
+
+@query("canny_3d", f"""
+{CANNY}, c AS (SELECT x, y, z, v FROM nms WHERE v >= 5), r AS (SELECT x, y, z FROM c WHERE v >= 10
+    UNION SELECT c.x, c.y, c.z FROM r JOIN c ON abs(c.x - r.x) <= 1 AND abs(c.y - r.y) <= 1 AND abs(c.z - r.z) <= 1)
+SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(z AS BIGINT) AS z FROM r""")
 def canny_3d(spark, d):
     return grid.canny(cells(spark, d), 3, 0.8, 5.0, 10.0)
 
@@ -152,7 +163,10 @@ def morph_close(spark, d):
     return raster.close(pixels(spark, d).where("v >= 5"), raster.disc(1), 50, 40)
 
 
-@query("morph_open")
+OPENED = f"{ERODED}, opn AS (SELECT DISTINCT r + dr AS r, c + dc AS c FROM ero, k WHERE r BETWEEN 1 AND 48 AND c BETWEEN 1 AND 38)"
+
+
+@query("morph_open", f"WITH {OPENED} SELECT r, c FROM opn")
 def morph_open(spark, d):
     return raster.open(pixels(spark, d).where("v >= 2"), raster.disc(1), 50, 40)
 

@@ -199,3 +199,30 @@ SELECT p_partkey, CAST(i AS INTEGER) AS i, round(i * 2.5, 6) AS x FROM (SELECT p
 def line_samples(spark, d):
     line = g.segment_samples(v.vec(0.0, 0.0, 0.0), v.vec(F.col("p_size"), 0.0, 0.0), 2.5)
     return table(spark, d, "part").where("p_size > 0").select("p_partkey", F.posexplode(line).alias("i", "pos")).select("p_partkey", "i", F.round("pos.x", 6).alias("x"))
+
+
+@query("projection_radial", f"""
+WITH {E}, p AS (SELECT *, ax / (az + 1) AS u, ay / (az + 1) AS w FROM e)
+SELECT vec_id, CASE WHEN az + 1 > 0 THEN round(90 * (1 - 0.2 * (u * u + w * w)) * u + 30, 7) END AS x, CASE WHEN az + 1 > 0 THEN round(90 * (1 - 0.2 * (u * u + w * w)) * w + 20, 7) END AS y FROM p""")
+def projection_radial(spark, d):
+    a = F.col("a")
+    seen = g.project_radial(v.vec(a["x"], a["y"], a["z"] + 1), F.lit(90.0), F.lit(30.0), F.lit(20.0), F.lit(-0.2))
+    return _pairs(spark, d).select("vec_id", F.round(seen["x"], 7).alias("x"), F.round(seen["y"], 7).alias("y"))
+
+
+@query("ray_rectangle", f"""
+WITH {E} SELECT vec_id, CASE WHEN ax BETWEEN -0.1 AND 0.2 AND ay BETWEEN -0.2 AND 0.1 AND az <= 1.5 THEN round(1.5 - az, 8) END AS distance FROM e""")
+def ray_rectangle(spark, d):
+    a = F.col("a")
+    wall = g.rectangle_box("z", F.lit(0.5), -0.1, -0.2, 0.2, 0.1)
+    ray = g.ray(v.vec(a["x"], a["y"], a["z"] - 1), v.vec(0.0, 0.0, 1.0))
+    return _pairs(spark, d).select("vec_id", F.round(F.get(g.ray_box_hits(ray, wall), F.lit(0)), 8).alias("distance"))
+
+
+@query("pose_sequence", f"""
+WITH {E}, s AS (SELECT vec_id, ax * cos(0.5) - ay * sin(0.5) + 1 AS x, ax * sin(0.5) + ay * cos(0.5) AS y, az AS z FROM e)
+SELECT vec_id, round(x * cos(0.25) - y * sin(0.25), 8) AS x, round(x * sin(0.25) + y * cos(0.25) + 2, 8) AS y, round(z, 8) AS z FROM s""")
+def pose_sequence(spark, d):
+    steps = F.array(g.pose(v.rotation_z(0.5), v.vec(1.0, 0.0, 0.0)), g.pose(v.rotation_z(0.25), v.vec(0.0, 2.0, 0.0)))
+    moved = g.pose_apply(g.chain(steps), F.col("a"))
+    return _pairs(spark, d).select("vec_id", *[F.round(moved[k], 8).alias(k) for k in "xyz"])

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import binning, stats
+from ..functions import geometry as g
+from ..functions import vectors as v
+from ..operators import alignment, binning, stats
 from ..registry import query, table
 
 
@@ -233,3 +235,43 @@ def fit_plane(spark, d):
     found = stats.fit_plane(p, "x", "y", "z", ["label"])
     length = sum((F.col("normal")[a] * F.col("normal")[a] for a in "yz"), F.col("normal")["x"] * F.col("normal")["x"])
     return rounded(found.select("label", F.col("origin.x").alias("x"), F.col("origin.y").alias("y"), "n", (F.abs(length - 1) < 1e-9).alias("unit_normal")), 9)
+
+
+E = "CAST(embedding[{}] AS DOUBLE)"
+
+
+@query("pose_stats", f"""
+WITH p AS (SELECT label, {E.format(1)} AS x, {E.format(2)} AS y FROM embeddings)
+SELECT label, count(*) AS n, round(avg(x), 9) AS x, round(var_samp(y), 9) AS y_variance, round(atan2(avg(sin(x)), avg(cos(x))), 9) AS z_angle, round(sqrt(avg(sin(x)) ** 2 + avg(cos(x)) ** 2), 9) AS z_resultant
+FROM p GROUP BY label""")
+def pose_stats(spark, d):
+    """Poses turned about Z by their own X."""
+    from .spatial import points
+
+    p = F.col("pos")
+    found = stats.pose_stats(points(spark, d).withColumn("pose", g.pose(v.rotation_z(p["x"]), p)), by=["label"])
+    return rounded(found.select("label", "n", g.pose_position(F.col("mean"))["x"].alias("x"), F.col("position_variance.y").alias("y_variance"), F.col("angles.z").alias("z_angle"), F.col("resultant.z").alias("z_resultant")), 9)
+
+
+@query("vector_averages", f"""
+WITH p AS (SELECT vec_id, vec_id % 7 + 1 AS w, {E.format(1)} AS x, {E.format(2)} AS y, {E.format(3)} AS z FROM embeddings),
+r AS (SELECT *, sum(w) OVER (ORDER BY x) AS rx, sum(w) OVER (ORDER BY z) AS rz, sum(w) OVER () AS a FROM p)
+SELECT round(sum(w * x) / sum(w), 9) AS mean_x, round(avg(y), 9) AS mean_y, round(median(z), 9) AS median_z, round(min(x) FILTER (WHERE 2 * rx >= a), 9) AS wmedian_x, round(min(z) FILTER (WHERE 2 * rz >= a), 9) AS wmedian_z FROM r""")
+def vector_averages(spark, d):
+    from .spatial import points
+
+    rows = points(spark, d).withColumn("w", F.col("id") % 7 + 1)
+    one = rows.agg(stats.mean_vector("pos", "w")["x"].alias("mean_x"), stats.mean_vector("pos")["y"].alias("mean_y"), stats.median_vector("pos")["z"].alias("median_z"))
+    mid = stats.weighted_median_vector(rows, "pos", "w").select(F.col("median.x").alias("wmedian_x"), F.col("median.z").alias("wmedian_z"))
+    return rounded(one.crossJoin(mid), 9)  # a row each
+
+
+@query("orientation_bins", f"""
+WITH p AS (SELECT {E.format(1)} AS x, {E.format(2)} AS y, {E.format(3)} AS z FROM embeddings), n AS (SELECT x / l AS x, y / l AS y, z / l AS z FROM (SELECT *, sqrt(x * x + y * y + z * z) AS l FROM p) WHERE l > 0),
+t AS (SELECT CASE WHEN z < 0 THEN -x ELSE x END AS x, CASE WHEN z < 0 THEN -y ELSE y END AS y, abs(z) AS z FROM n), o AS (SELECT degrees(atan2(y, x)) AS a, degrees(acos(least(1, z))) AS i FROM t)
+SELECT CAST(floor(CASE WHEN a < 0 THEN a + 360 ELSE a END) AS INT) AS azimuth, CAST(floor(i) AS INT) AS tilt, count(*) AS weight FROM o GROUP BY 1, 2""")
+def orientation_bins(spark, d):
+    from .spatial import points
+
+    normals = points(spark, d).select(v.unit(F.col("pos")).alias("normal"), F.lit(1).alias("weight"))
+    return alignment.orientation_bins(normals, (0.0, 0.0, 1.0), (1.0, 0.0, 0.0))
