@@ -68,8 +68,8 @@ def encoder(path: str):
             return exact(text)
         try:
             return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
-        except BaseException as e:  # the encoder panics on some extreme texts
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+        except BaseException as e:
+            if type(e).__name__ != "PanicException":  # of the encoder's own runtime, on some extreme texts; it can't be imported
                 raise
             return exact(text)
 

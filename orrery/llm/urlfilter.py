@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rule lists up to this length are sent to every executor; longer ones are joined by shuffling.
-BROADCAST_RULES = 100_000
+#: Rule lists of up to so many bytes are sent to every executor; longer ones are joined by shuffling.
+BROADCAST_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -109,7 +109,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     tokens = url_tokens(F.concat("host", "path"))
 
     asked = sorted({t for r in rules for t in r.tokens()})
-    sized = (lambda df: F.broadcast(df)) if len(rules) <= BROADCAST_RULES else (lambda df: df)
+    sized = (lambda df: F.broadcast(df)) if sum(len(r.regex().encode()) + 100 for r in rules) <= BROADCAST_BYTES else (lambda df: df)
     wanted = _literal(spark, [{"token": t} for t in asked], "token:string")
     counts = urls.select(F.explode(tokens).alias("token")).join(sized(wanted), "token").groupBy("token").count()
     seen = {r["token"]: r["count"] for r in counts.collect()}  # a row for each token of the rule list at most

@@ -229,7 +229,7 @@ def test_rules_are_filed_under_whole_tokens():
 def test_rules_without_tokens_and_shuffled_rules(spark, monkeypatch):
     rules = [urlfilter.Rule("pattern", "block", "track"), urlfilter.Rule("pattern", "allow", "*")]
     df = spark.createDataFrame([(1, "http://a/xtracky"), (2, "http://a/b"), (3, None)], "page_id long, url string")
-    for most in (10, 0):
-        monkeypatch.setattr(urlfilter, "BROADCAST_RULES", most)
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(urlfilter, "BROADCAST_BYTES", most)
         got = {r.page_id: (r.pattern, r.verdict) for r in urlfilter.judge(df, rules).collect()}
         assert got == {1: ("track", "block"), 2: ("*", "allow"), 3: ("*", "allow")}
