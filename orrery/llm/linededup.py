@@ -69,10 +69,13 @@ class LineRuns:
 
         return reduce(both, runs)
 
+    def _path(self, name: str) -> str:
+        return f"{work_dir(self.spark)}/{name}"
+
     def _write(self, run: DataFrame) -> str:
         name = f"orrery_run_{uuid.uuid4().hex}"
         writer = run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("compression", "zstd")
-        writer.option("path", f"{work_dir(self.spark)}/{name}").saveAsTable(name)
+        writer.option("path", self._path(name)).saveAsTable(name)
         self.written.append(name)
         return name
 
@@ -86,8 +89,11 @@ class LineRuns:
             self._push(k + 1, merged)
 
     def owners(self) -> DataFrame:
-        """The first document of every line seen, a row for each line."""
-        return reduce(DataFrame.unionByName, self.runs())
+        """The first document of every line seen, a row for each line.
+
+        Read as plain files: a join that shuffles both sides can split the lines that many documents hold.
+        """
+        return reduce(DataFrame.unionByName, [self.spark.read.parquet(self._path(r)) for level in self.levels for r in level])
 
     def close(self) -> None:
         for name in self.written:
