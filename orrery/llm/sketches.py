@@ -79,17 +79,29 @@ def merge_by(parts: DataFrame, key: str, column: str, k: int = 128, fan_in: int
     return rows.groupBy(key).agg(merged)
 
 
+def compare(a: Column, b: Column, k: int = 128) -> Column:
+    """``struct<resemblance, containment>`` of two sketches, from one union of both.
+
+    Resemblance is the estimated Jaccard likeness of two texts, from 0 to 1; two texts without shingles: 1.
+    Containment is the estimated share of ``a``'s shingles that ``b`` holds: resemblance times
+    union over size of a; 1 if ``a`` has none.
+    """
+
+    def judged(a: Column, b: Column, union: Column) -> Column:
+        shared = F.size(F.array_intersect(F.array_intersect(a, b), union))
+        alike = F.when(F.size(union) == 0, 1.0).otherwise(shared / F.size(union))
+        held = F.when(F.size(a) == 0, 1.0).otherwise(F.least(F.lit(1.0), alike * distinct_shingles(union, k) / distinct_shingles(a, k)))
+        return F.struct(alike.alias("resemblance"), held.alias("containment"))
+
+    return let(lambda a, b: let(lambda union: judged(a, b, union), merge(a, b, k)), a, b)
+
+
 def resemblance(a: Column, b: Column, k: int = 128) -> Column:
-    """Estimated Jaccard likeness of two texts, from 0 to 1; two texts without shingles: 1."""
-    union = merge(a, b, k)
-    shared = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    return F.when(F.size(union) == 0, 1.0).otherwise(shared / F.size(union))
+    return compare(a, b, k)["resemblance"]
 
 
 def containment(a: Column, b: Column, k: int = 128) -> Column:
-    """Estimated share of ``a``'s shingles that ``b`` holds: resemblance times union over size of a."""
-    r = resemblance(a, b, k)
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.least(F.lit(1.0), r * distinct_shingles(merge(a, b, k), k) / distinct_shingles(a, k)))
+    return compare(a, b, k)["containment"]
 
 
 def distinct_shingles(a: Column, k: int = 128) -> Column:
@@ -162,9 +174,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = with_next(docs, ["text", "own"], derive=lambda rows: rows.withColumn("own", sketch(F.col("text"))))
     edited = edit(F.col("text"), F.col("next_text"))
     both = pairs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "own", F.col("next_own").alias("following"), let(lambda t: F.struct(sha256(t).alias("digest"), sketch(t).alias("changed")), edited).alias("made"))
-    own, changed, following = F.col("own"), F.col("made.changed"), F.col("following")
-    return both.select(
-        "doc_id", "n_chars", F.col("made.digest").alias("edited_sha256"), fingerprint(own).alias("fingerprint"), fingerprint(changed).alias("edited_fingerprint"),
-        resemblance(own, changed).alias("near_edited"), resemblance(own, following).alias("near_next"), distinct_shingles(own).alias("distinct_shingles"),
-        containment(own, changed).alias("contained_in_edited"),
+    own = F.col("own")
+    judged = both.select("doc_id", "n_chars", "made", "own", compare(own, F.col("made.changed")).alias("to_edited"), resemblance(own, F.col("following")).alias("near_next"))
+    return judged.select(
+        "doc_id", "n_chars", F.col("made.digest").alias("edited_sha256"), fingerprint(own).alias("fingerprint"), fingerprint(F.col("made.changed")).alias("edited_fingerprint"),
+        F.col("to_edited.resemblance").alias("near_edited"), "near_next", distinct_shingles(own).alias("distinct_shingles"), F.col("to_edited.containment").alias("contained_in_edited"),
     )
