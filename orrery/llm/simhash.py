@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -36,8 +36,9 @@ POSITIONS, WIDTH = 8, 4
 MOST_BITS = 3
 #: Positional bytes of a minwise fingerprint, and the number of keys, which have four of them each.
 MINWISE, MIN_KEYS = 128, 8
-#: How far below the wanted likeness a tally may be by chance: 2.5 standard deviations at 0.8.
-CHANCE = 0.09
+#: How far below the wanted likeness a tally may be by chance: at 0.8 about 2.5 standard deviations for the pair
+#: of a text and the first under its key, about one for other pairs.
+CHANCE, CLOSE = 0.09, 0.03
 #: Hashes whose bits are counted at once.
 BLOCK = 1 << 14
 
@@ -159,22 +160,42 @@ def near_duplicates(
     return fps.join(stash(classes), "fp").select("doc_id", "fp", "component_id")
 
 
-def tallied_pairs(nodes: DataFrame, likeness: float) -> DataFrame:
-    """Pairs ``(a, b)`` of ``nodes`` (node, sig), distinct ``sig`` each, that share so many positional bytes
-    as texts of this likeness do but for chance. They meet under one of
-    :data:`MIN_KEYS` sets of four positions and are tallied over all."""
+def minwise_index(nodes: DataFrame) -> DataFrame:
+    """``(t, key, node)``: the postings of ``nodes`` (node, sig) under :data:`MIN_KEYS` sets of four positional bytes."""
     half = lambda t: F.get("sig", F.lit(t // 2)).bitwiseAND(F.lit(_signed(0xFFFFFFFF << 32 * (t % 2))))
-    index = nodes.select("node", F.col("sig").alias("w"), F.posexplode(F.array(*[half(t) for t in range(MIN_KEYS)])).alias("t", "key"))
+    return nodes.select(F.posexplode(F.array(*[half(t) for t in range(MIN_KEYS)])).alias("t", "key"), "node")
+
+
+def tally(a: str, b: str) -> Column:
+    """How many positional bytes two minwise fingerprints share."""
     differing = F.lit(0)
     for i in range(MINWISE // 8):
-        x = F.get("l.w", F.lit(i)).bitwiseXOR(F.get("r.w", F.lit(i)))
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
         for step in (4, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, step))
         differing = differing + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    least = MINWISE * (likeness - CHANCE)
-    on = (F.col("l.t") == F.col("r.t")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))
-    met = index.alias("l").join(index.alias("r"), on & (MINWISE - differing >= least))
-    return met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    return MINWISE - differing
+
+
+def pairs_with_first(index: DataFrame, nodes: DataFrame, likeness: float) -> DataFrame:
+    """Pairs ``(a, b)`` of a text with the first one under one of its keys, that share as many positional bytes as
+    texts of this likeness do but for chance. There are at most as many as postings."""
+    firsts = index.groupBy("t", "key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = stash(index.join(firsts, ["t", "key"]).where("node > a").select("a", F.col("node").alias("b")).distinct())
+    side = lambda end: nodes.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b")
+    return full.where(tally("sig_a", "sig_b") >= MINWISE * (likeness - CHANCE)).select("a", "b")
+
+
+def pairs_across(index: DataFrame, nodes: DataFrame, classes: DataFrame, likeness: float) -> DataFrame:
+    """Pairs ``(a, b)`` under one key in different classes ``(node, component)`` that share about as many positional
+    bytes as texts of this likeness. Only keys under which classes still meet are looked at."""
+    known = index.join(classes, "node", "left").select("t", "key", "node", F.coalesce("component", "node").alias("class"))
+    mixed = known.groupBy("t", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    held = stash(known.join(mixed.select("t", "key"), ["t", "key"], "left_semi").join(nodes, "node"))
+    on = (F.col("l.t") == F.col("r.t")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class"))
+    met = held.alias("l").join(held.alias("r"), on & (tally("l.sig", "r.sig") >= MINWISE * (likeness - CLOSE)))
+    return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, likeness: float, words: int) -> DataFrame:
@@ -202,8 +223,9 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 
     component_id is the smallest id reachable over links between texts of which at least ``likeness`` of
     the distinct shingles are shared, all blank texts being alike; the row's own id is included.
-    Candidates are met by SimHash (at most ``max_bits`` differing bits) and by minwise bytes, of pairs at
-    a likeness of 0.8 about 0.98; each is verified on its whole texts. Rows of one id and equal
+    Candidates are met by SimHash (at most ``max_bits`` differing bits) and by minwise bytes, first each
+    text with the first one under its keys, then those that this leaves in different classes; each pair is
+    verified on its whole texts. So a group of copies forms few pairs. Rows of one id and equal
     fingerprints are one text. Blank texts are alike; null ids get the class of a text with equal
     fingerprints, or null. An empty table gives no rows.
     """
@@ -211,14 +233,23 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     nodes = stash(fps.where("doc_id is not null").groupBy("fp", "sig").agg(F.min("doc_id").alias("node")))
     by_fp = stash(nodes.groupBy("fp").agg(F.min("node").alias("first")))
     by_sig = stash(nodes.where("sig is not null").groupBy("sig").agg(F.min("node").alias("first")))
-    met = links(by_fp.withColumnRenamed("first", "node"), max_bits).unionByName(tallied_pairs(by_sig.withColumnRenamed("first", "node"), likeness))
+    wide = by_sig.select(F.col("first").alias("node"), "sig")
+    index = stash(minwise_index(wide))
+
+    def true(met: DataFrame) -> DataFrame:
+        met = stash(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+        ends = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).join(ends, "node", "left_semi")
+        return stash(verified(met, stash(texts.groupBy("node").agg(F.min("text").alias("text"))), likeness, words))
+
+    met = links(by_fp.withColumnRenamed("first", "node"), max_bits).unionByName(pairs_with_first(index, wide, likeness))
     for same, column in ((by_fp, "fp"), (by_sig, "sig")):
         met = met.unionByName(nodes.join(same, column).select(F.col("first").alias("a"), F.col("node").alias("b")))
-    met = stash(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    ends = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).join(ends, "node", "left_semi")
-    texts = stash(texts.groupBy("node").agg(F.min("text").alias("text")))
-    parts = connected_components(verified(met, texts, likeness, words))
+    edges = true(met)
+    parts = connected_components(edges)
+    more = true(pairs_across(index, wide, parts, likeness))
+    if not more.isEmpty():
+        parts = connected_components(edges.unionByName(more))
     classes = stash(nodes.join(parts, "node", "left").select(F.col("fp").alias("f"), F.col("sig").alias("s"), F.coalesce("component", "node").alias("component_id")))
     return fps.join(classes, (F.col("fp") == F.col("f")) & F.col("sig").eqNullSafe(F.col("s")), "left").select("doc_id", "component_id")
 
