@@ -93,7 +93,7 @@ class LineRuns:
 
         Read as plain files: a join that shuffles both sides can split the lines that many documents hold.
         """
-        return reduce(DataFrame.unionByName, [self.spark.read.parquet(self._path(r)) for level in self.levels for r in level])
+        return reduce(DataFrame.unionByName, [self.spark.read.schema("h1 long, h2 long, owner long").parquet(self._path(r)) for level in self.levels for r in level])
 
     def close(self) -> None:
         for name in self.written:
