@@ -136,16 +136,29 @@ def test_edited_copies_are_linked(spark):
     assert all(n >= (8 if name == "resize by 1.5" else 36) for name, n in caught.items()), caught
 
 
-def test_meeting_recall(spark):
-    """Nearly all pairs of corners within the largest distance, of a picture and its noisy copy, are found."""
-    rows = {i: picture(i) for i in range(10)} | {100 + i: np.uint8(np.clip(np.rint(picture(i) + RNG.normal(0, 6, (64, 64))), 0, 255)) for i in range(10)}
+def test_links_are_nearly_those_of_all_pairs(spark):
+    """Image pairs that all pairs of corners within the largest distance would link, against those the tables link."""
+    edits = [EDITS[k] for k in ("noise", "turn by 10 degrees", "resize by 1.25", "resize by 1.5")]
+    rows = {i: picture(i) for i in range(12)}
+    for k, edit in enumerate(edits):
+        rows |= {100 * (k + 1) + i: np.uint8(np.clip(np.rint(edit(picture(i))), 0, 255)) for i in range(12)}
     df = spark.createDataFrame([as_row(*r) for r in rows.items()], "image_id long, height int, width int, pixels binary")
     points = images.stash(images.descriptors(df))
-    bits = {(r.image_id, r.corner): images._bits(np.array([r.quarters]))[0] for r in points.collect()}
-    want = {(*p, *q) for p in bits for q in bits if q[0] == p[0] + 100 and (bits[p] != bits[q]).sum() <= 24}
+    corners = sorted(points.collect(), key=lambda r: (r.image_id, r.corner))
+    bits = images._bits(np.array([r.quarters for r in corners]))
+    met = []
+    for i, p in enumerate(corners):
+        for j in np.flatnonzero((bits != bits[i]).sum(axis=1) <= 24):
+            q = corners[j]
+            if p.image_id < q.image_id:
+                met.append((p.image_id, p.corner, p.x, p.y, p.scale, p.turn, q.image_id, q.corner, q.x, q.y, q.scale, q.turn))
+    place = lambda end: f"{end}_image_id long, {end}_corner int, {end}_x double, {end}_y double, {end}_scale int, {end}_turn double"
+    every = {(r.a, r.b) for r in images.consensus(spark.createDataFrame(met, f"{place('l')}, {place('r')}")).collect()}
+    found = {(r.a, r.b) for r in images.consensus(images.matches(points, 24, 5)).collect()}
+    parts = {r.image_id: r.component_id for r in images.copies(df).collect()}
+    assert len(every) > 60 and all(a % 100 == b % 100 for a, b in found) and sum(parts[a] == parts[b] for a, b in every) >= 0.9 * len(every)
     got = {(r.l_image_id, r.l_corner, r.r_image_id, r.r_corner) for r in images.matches(points, 24, 5).collect()}
-    assert len(want) > 150 and len(want & got) >= 0.9 * len(want)
-    assert all((bits[r[:2]] != bits[r[2:]]).sum() <= 24 for r in got)
+    assert got <= {(m[0], m[1], m[6], m[7]) for m in met}
 
 
 # --- 3: chats ---------------------------------------------------------------------------
