@@ -185,6 +185,6 @@ def bernoulli_sample(spark, d):
     return table(spark, d, "orders").where(collections.bernoulli(["o_orderkey"], 0.1)).select("o_orderkey")
 
 
-@query("shuffled")
+@query("shuffled", "SELECT c_custkey FROM customer")
 def shuffled(spark, d):
     return collections.shuffled(table(spark, d, "customer").select("c_custkey"), ["c_custkey"])

@@ -64,7 +64,15 @@ def circular_mean(spark, d):
     return rounded(table(spark, d, "events").groupBy("event_type").agg(*stats.circular(F.radians("value"))), 8)
 
 
-@query("circular_running")
+WRAPPED = "CASE WHEN {0} > pi() THEN {0} - 2 * pi() WHEN {0} < -pi() THEN {0} + 2 * pi() ELSE {0} END"
+STEP = WRAPPED.format("(x.a - s.mean)")
+
+
+@query("circular_running", f"""
+WITH e AS (SELECT user_id, event_id, radians(value % 360) AS a FROM events),
+g AS (SELECT user_id, list(struct_pack(n := 1.0::DOUBLE, mean := {WRAPPED.format('a')}, m2 := 0.0::DOUBLE, a := a) ORDER BY event_id, a) AS l FROM e WHERE a IS NOT NULL GROUP BY user_id),
+r AS (SELECT user_id, list_reduce(l, lambda s, x: struct_pack(n := s.n + 1, mean := s.mean + ({STEP}) / (s.n + 1), m2 := s.m2 + ({STEP}) * ({STEP}) * s.n / (s.n + 1), a := x.a)) AS s FROM g)
+SELECT user_id, CAST(s.n AS BIGINT) AS n, round(s.mean, 8) AS mean, round(CASE WHEN s.n > 1 THEN s.m2 / (s.n - 1) ELSE 0 END, 8) AS variance FROM r""")
 def circular_running(spark, d):
     e = table(spark, d, "events").withColumn("angle", F.radians(F.col("value") % 360))
     return rounded(stats.circular_running(e, "angle", "event_id", ["user_id"]), 8)
