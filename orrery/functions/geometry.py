@@ -294,9 +294,11 @@ def triangle_contains(t: Column, p: Column) -> Column:
 
 @v.bound
 def segment_distance(a: Column, b: Column, p: Column) -> Column:
-    way = v.subtract(b, a)
-    share = F.coalesce(F.try_divide(v.dot(v.subtract(p, a), way), v.dot(way, way)), F.lit(0.0))
-    return v.distance(p, v.add(a, v.scale(way, F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))))
+    def gap(way: Column, off: Column) -> Column:
+        share = F.coalesce(F.try_divide(v.dot(off, way), v.dot(way, way)), F.lit(0.0))
+        return v.let(lambda s: v.norm(v.subtract(off, v.scale(way, s))), F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
+
+    return v.let(gap, v.subtract(b, a), v.subtract(p, a))
 
 
 @v.bound
@@ -304,12 +306,11 @@ def triangle_distance(t: Column, p: Column) -> Column:
     """Distance of a point from a triangle: to its plane over the inside, to the nearest edge elsewhere."""
     edges = F.least(segment_distance(t["a"], t["b"], p), segment_distance(t["b"], t["c"], p), segment_distance(t["c"], t["a"], p))
 
-    def over(normal):
-        height = v.dot(normal, v.subtract(p, t["a"]))
+    def over(normal: Column, height: Column) -> Column:
         inside = triangle_contains(t, v.subtract(p, v.scale(normal, height)))
         return F.when(inside, F.abs(height)).otherwise(edges)
 
-    return v.let(over, triangle_normal(t))
+    return v.let(lambda normal: v.let(lambda height: over(normal, height), v.dot(normal, v.subtract(p, t["a"]))), triangle_normal(t))
 
 
 @v.bound
