@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, images, langid, linededup, mixing, packing, pii, simhash, sketches, urlfilter
+from . import chat, images, langid, linededup, merkle, mixing, packing, pii, simhash, sketches, urlfilter
 
 QUERIES = {
     "op1_pii": pii.op1,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_line_dedup": linededup.op8,
     "op9_language_id": langid.op9,
     "op10_url_filter": urlfilter.op10,
+    "op12_merkle_manifest": merkle.op12,
 }
 
 ORACLES: dict[str, str] = {
     "op3_chat_formatting": chat.OP3_SQL,
     "op8_line_dedup": linededup.OP8_SQL,
     "op10_url_filter": urlfilter.OP10_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
 }
