@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, images, langid, linededup, merkle, mixing, packing, pii, simhash, sketches, urlfilter
+from . import chat, images, langid, linededup, merkle, mixing, packing, pii, simhash, sketches, trie, urlfilter
 
 QUERIES = {
     "op1_pii": pii.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": langid.op9,
     "op10_url_filter": urlfilter.op10,
     "op12_merkle_manifest": merkle.op12,
+    "op13_prefix_trie": trie.op13,
 }
 
 ORACLES: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op8_line_dedup": linededup.OP8_SQL,
     "op10_url_filter": urlfilter.OP10_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
+    "op13_prefix_trie": trie.OP13_SQL,
 }
