@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, images, langid, linededup, merkle, mixing, packing, pii, simhash, sketches, trie, urlfilter
+from . import chat, hyperminhash, images, langid, linededup, merkle, mixing, packing, pii, simhash, sketches, trie, urlfilter
 
 QUERIES = {
     "op1_pii": pii.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": linededup.op8,
     "op9_language_id": langid.op9,
     "op10_url_filter": urlfilter.op10,
+    "op11_hyperminhash": hyperminhash.op11,
     "op12_merkle_manifest": merkle.op12,
     "op13_prefix_trie": trie.op13,
 }
