@@ -74,6 +74,21 @@ def file_ply(spark, d):
     return both.select("face_id", "v1", F.round("x", 9).alias("x"), F.round("z", 9).alias("z"))
 
 
+@query("file_ply_binary", """
+SELECT p_partkey AS face_id, CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS FLOAT) AS price, CAST(p_partkey % 7 AS INTEGER) AS kind, CAST(p_partkey % 256 AS SMALLINT) AS red FROM part""")
+def file_ply_binary(spark, d):
+    """Three vertices a part, of which the ids have gaps; a face of them; read back in ranges of 4 kB."""
+    parts = table(spark, d, "part")
+    key = F.col("p_partkey").cast("long")
+    corner = parts.withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
+    vertices = corner.select((key * 10 + F.col("k")).alias("vertex_id"), F.col("p_size").cast("double").alias("x"), F.col("k").cast("double").alias("y"), F.lit(0.0).alias("z"), F.col("p_retailprice").cast("float").alias("price"), (key % 256).cast("short").alias("red"))
+    faces = parts.select(key.alias("face_id"), *[(key * 10 + k).alias(f"v{k + 1}") for k in range(3)], (key % 7).cast("int").alias("kind"))
+    ply.write_ply_binary(vertices, at := place(spark, "binary") + ".ply", faces)
+    v_back, f_back = ply.read_ply(spark, at, range_bytes=4096), ply.read_ply(spark, at, "face", range_bytes=4096)
+    both = f_back.join(v_back, F.col("v2") == F.col("vertex_id")).where("y = 1 and v3 = v2 + 1")
+    return both.select("face_id", "x", "price", "kind", F.col("red").cast("short").alias("red"))
+
+
 ROUND = "round(CAST({} AS DOUBLE), 9)"
 
 

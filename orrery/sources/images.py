@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .records import file_system, read_records
+
 
 def list_images(spark: SparkSession, folder: str, endings: tuple[str, ...] = ("png", "jpg", "tiff"), recursive: bool = False) -> DataFrame:
     """``(t, path)``: files with such endings; t is the name before the ending, as seconds, null if it is no number.
@@ -16,13 +18,33 @@ def list_images(spark: SparkSession, folder: str, endings: tuple[str, ...] = ("p
     return files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).try_cast("double").alias("t"), "path")
 
 
-def read_grids(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, x, y, z, v)``: the cells of numpy files of three axes, a task for each file.
+def read_grids(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """``(file, x, y, z, v)``: the cells of numpy files of three axes and any numeric type, in either order of axes.
 
-    A grid kept as split files along its first axis is read by all of them at once; their
+    A file is read in ranges of ``range_bytes`` (the session's size of file partitions), whatever its size; only where Arrow
+    can't open it, by one task. A grid kept as split files along its first axis is read by all of them at once; their
     x then count within each file: see :func:`join_splits`.
     """
+    import numpy as np
+
+    files = []
+    for (file,) in spark.read.format("binaryFile").load(path).select("path").collect():  # a row for each file
+        try:
+            system, inside = file_system(file)
+        except (ValueError, NotImplementedError):
+            return _whole_grids(spark, path)
+        with system.open_input_file(inside) as opened:
+            version = np.lib.format.read_magic(opened)
+            shape, backwards, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(opened)
+            offset = opened.tell()
+        if len(shape) != 3 or kind.kind not in "biuf":
+            raise ValueError(f"{file} is no grid of numbers with three axes")
+        below = [1, shape[0], shape[0] * shape[1]] if backwards else [shape[1] * shape[2], shape[2], 1]
+        files.append({"file": file, "offset": offset, "rows": shape[0] * shape[1] * shape[2], "kinds": [["v", kind.str]], "axes": {a: [b, n] for a, b, n in zip("xyz", below, shape)}})
+    return read_records(spark, files, "file string, x long, y long, z long, v double", range_bytes)
+
 
+def _whole_grids(spark: SparkSession, path: str) -> DataFrame:
     def cells(batches):
         import io
 
