@@ -8,10 +8,10 @@ those that reach the wanted likeness, less four standard deviations, are verifie
 
 Documents of equal sets are one node, so copies form no pairs. In a bucket each node first meets the least one, and
 of those that it meets so the likeliest is verified; links are contracted, and nodes of one class needn't meet again. That is
-repeated with the least node of another class until it adds nothing. What is left in a bucket are classes
+repeated with the least node of another class. What is left in a bucket are classes
 of which no link is known. A small bucket has their pairs compared; in a crowded one, whose pairs would grow with its square,
-two nodes meet only if they share one of their rarest shingles: of a set of n shingles, in any common order, the first
-n - ceil(0.85 n) + 1 must hold one that they share, if they are 0.85 alike. This misses no pair.
+two nodes meet only if they share one of their rarest shingles (prefix filtering): sets of n and m shingles that are 0.85 alike share c =
+0.85 (n + m) / 1.85 or more, so in any common order the first one they share is among the first n - c + 1 and m - c + 1. This misses no pair.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ REGISTERS, MANTISSA = 128, 10
 BANDS, WIDTH = 16, 5
 #: Standard deviations that an estimate may lie below the wanted likeness.
 DEVIATIONS = 4
+#: Most rounds in which each node meets the least one of another class; what they leave, the last steps find.
+STARS = 3
 #: Nodes of a bucket whose pairs are compared; larger buckets are searched by rare shingles, with the same result.
 CROWDED = 16
 BLOCK = 512
@@ -161,7 +163,9 @@ def pairs_across(held: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def pairs_by_rare_shingles(held: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` of different classes that meet in a crowded bucket, share a shingle of their prefixes and are likely to link.
 
-    Shingles are ordered by how many of the crowded buckets' sets hold them, so prefixes have rare ones.
+    Shingles are ordered by how many of the crowded buckets' sets hold them, so prefixes have rare ones. The longer
+    of two sets is tried with a prefix for all lengths that may link, the shorter one with that for its own length and above, and
+    the place of the shared shingle must leave enough behind it in both.
     """
     crowd = held.where(F.col("size") > CROWDED).select("set", "class").distinct()
     texts = stash(texts_of(docs, nodes.join(crowd, "set", "left_semi"), text_col))
@@ -179,11 +183,17 @@ def pairs_by_rare_shingles(held: DataFrame, nodes: DataFrame, docs: DataFrame, t
     ranked = exploded.join(rarity, "shingle").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("order"))
     n = F.size("order")
     prefix = F.slice("order", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
-    filed = ranked.select("set", F.explode(prefix["shingle"]).alias("shingle")).join(crowd, "set")
+    filed = ranked.select("set", F.posexplode(prefix["shingle"]).alias("pos", "shingle")).join(crowd, "set")
     filed = stash(filed.join(nodes.select("set", F.struct(*SKETCH).alias("s")), "set"))
-    on = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.class") < F.col("r.class")) & may_link("l.s", "r.s", percent)
-    met = filed.alias("l").join(filed.alias("r"), on)
-    return met.select(F.least("l.set", "r.set").alias("a"), F.greatest("l.set", "r.set").alias("b")).distinct()
+    # sets of n and m shingles must share this many, so their first common one leaves as many behind it in both
+    l, r = F.col("l.s.n"), F.col("r.s.n")
+    common = lambda size: F.ceil(size * percent / (100 + percent))
+    smaller = (l < r) | ((l == r) & (F.col("l.set") < F.col("r.set")))
+    placed = (F.col("l.pos") <= l - common(l + r)) & (F.col("r.pos") <= r - common(l + r))
+    on = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.class") != F.col("r.class")) & smaller & placed & may_link("l.s", "r.s", percent)
+    short = filed.where(F.col("pos") <= F.col("s.n") - common(2 * F.col("s.n")))
+    met = short.alias("l").join(filed.alias("r"), on)
+    return met.select(F.col("l.set").alias("a"), F.col("r.set").alias("b")).distinct()
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
@@ -246,10 +256,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         parts = connected_components(reduce(DataFrame.unionByName, edges))
         return True
 
-    while true(star_pairs(postings, parts, nodes, percent)):
-        pass
+    for _ in range(STARS):
+        if not true(star_pairs(postings, parts, nodes, percent)):
+            break
     held = mixed_buckets(postings, parts)
-    true(pairs_across(held, nodes, percent))
+    if true(pairs_across(held, nodes, percent)):
+        held = mixed_buckets(postings, parts)
     if not held.where(F.col("size") > CROWDED).isEmpty():
         true(pairs_by_rare_shingles(held, nodes, docs, text_col, words, percent))
     classes = nodes.join(parts, F.col("set") == F.col("node"), "left").select("set", "least_id", F.coalesce("component", "set").alias("class"))
