@@ -200,6 +200,8 @@ def _along(rays: DataFrame, boxes: DataFrame, size: float | None, max_distance:
     start = F.greatest(F.col("span.near"), F.lit(0.0))
     stop = F.col("span.far") if max_distance is None else F.least(F.col("span.far"), F.lit(float(max_distance)))
     walked = inside.select("ray_id", "ray", start.alias("start"), stop.alias("stop")).where("start <= stop")
+    # few rows with much work each, dealt to all tasks
+    walked = walked.repartition(int(rays.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ray_id")
     walked = walked.select("ray_id", "ray", F.explode(cells_along(F.col("ray"), F.col("start"), F.col("stop"), size)).alias("cell"))
     filed = boxes.select(*kept, F.explode(cells_of_box(grown(F.col("box")), size)).alias("cell"))
     return walked.join(filed, "cell")
@@ -210,13 +212,37 @@ def _first(met: DataFrame, key: str) -> DataFrame:
     return best.select("ray_id", f"b.{key}", "b.distance")
 
 
+def _through(met: DataFrame) -> DataFrame:
+    """``(ray_id, triangle_id, distance)`` of the rays that pass through their triangle; those on an edge don't.
+
+    Seen from the origin, the ray runs on the same side of the planes through each edge. Each step is a projection of plain
+    columns. Rays that miss are left out by an explode, over which the planner pushes no filter: below the join it would
+    write out the formulas in terms of each other.
+    """
+    ray = {f"d{a}": F.col("ray.direction")[a] for a in v.AXES}
+    corners = {f"{k}{a}": F.col("tri")[k][a] - F.col("ray.origin")[a] for k in "abc" for a in v.AXES}
+    rows = met.select("ray_id", "triangle_id", *[x.alias(n) for n, x in (ray | corners).items()])
+    planes = {}
+    for p, q in ("ab", "bc", "ca"):
+        for i, a in enumerate(v.AXES):
+            s, t = v.AXES[(i + 1) % 3], v.AXES[(i + 2) % 3]
+            planes[f"{p}{q}{a}"] = F.col(f"{p}{s}") * F.col(f"{q}{t}") - F.col(f"{p}{t}") * F.col(f"{q}{s}")
+    rows = rows.select("ray_id", "triangle_id", "dx", "dy", "dz", "ax", "ay", "az", *[x.alias(n) for n, x in planes.items()])
+    along = lambda k, x: sum((F.col(f"{k}{a}") * F.col(f"{x}{a}") for a in v.AXES), F.lit(0.0))
+    rows = rows.select("ray_id", "triangle_id", *[along(k, "d").alias(f"s{k}") for k in ("ab", "bc", "ca")], along("bc", "a").alias("volume"))
+    one_side = F.expr("(sab > 0 and sbc > 0 and sca > 0) or (sab < 0 and sbc < 0 and sca < 0)")
+    distance = F.when(one_side, F.col("volume") / (F.col("sab") + F.col("sbc") + F.col("sca")))
+    rows = rows.select("ray_id", "triangle_id", distance.alias("distance"))
+    return rows.select("ray_id", "triangle_id", F.explode(F.when(F.col("distance") >= 0, F.array("distance"))).alias("distance"))
+
+
 def ray_hits(rays: DataFrame, triangles: DataFrame, size: float | None = None, first_only: bool = True, max_distance: float | None = None) -> DataFrame:
     """``(ray_id, triangle_id, distance)``: the triangles that rays ``(id, ray)`` hit, or the first of each."""
     filed = triangles.where("tri is not null").select(F.col("id").alias("triangle_id"), "tri", g.triangle_box(F.col("tri")).alias("box"))
     met = _along(rays, filed, size, max_distance, ["triangle_id", "tri"])
     if met is None:
         return rays.select(F.col("id").alias("ray_id")).join(filed.select("triangle_id"), F.lit(False)).withColumn("distance", F.lit(0.0))
-    met = met.select("ray_id", "triangle_id", g.ray_triangle(F.col("ray"), F.col("tri")).alias("distance")).where("distance is not null")
+    met = _through(met)
     if max_distance is not None:
         met = met.where(F.col("distance") <= max_distance)
     return _first(met, "triangle_id") if first_only else met.dropDuplicates(["ray_id", "triangle_id"])
