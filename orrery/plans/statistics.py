@@ -283,3 +283,46 @@ def orientation_bins(spark, d):
 
     normals = points(spark, d).select(v.unit(F.col("pos")).alias("normal"), F.lit(1).alias("weight"))
     return alignment.orientation_bins(normals, (0.0, 0.0, 1.0), (1.0, 0.0, 0.0))
+
+
+def facings(spark, d):
+    """A normal of eight mirrored directions for each order line, weighted by its quantity."""
+    flip = lambda c, k: F.when(F.col(c) % k == 0, -1.0).otherwise(1.0)
+    normal = v.unit(v.vec((F.col("l_discount") - 0.0437) * flip("l_linenumber", 2), (F.col("l_tax") - 0.0391) * flip("l_linenumber", 3), flip("l_orderkey", 2) * 0.12))
+    return table(spark, d, "lineitem").select(normal.alias("normal"), F.col("l_quantity").alias("weight"))
+
+
+NORMAL_GRID = """
+raw AS (SELECT (l_discount - 0.0437) * CASE WHEN l_linenumber % 2 = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS x, (l_tax - 0.0391) * CASE WHEN l_linenumber % 3 = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS y,
+    CASE WHEN l_orderkey % 2 = 0 THEN -0.12::DOUBLE ELSE 0.12::DOUBLE END AS z, l_quantity AS w FROM lineitem),
+nrm AS (SELECT x / l AS x, y / l AS y, z / l AS z, CASE WHEN z < 0 THEN -1 ELSE 1 END AS s, w FROM (SELECT *, sqrt(x * x + y * y + z * z) AS l FROM raw)),
+c AS (SELECT CAST(floor(abs(abs(degrees(atan2(x, y))) - 90)) AS INTEGER) % 90 AS azimuth, CAST(floor(90 - abs(degrees(acos(z)) - 90)) AS INTEGER) AS tilt,
+    CAST(x * s >= 0 AS INTEGER) * 2 + CAST(y * s >= 0 AS INTEGER) AS side, x * s AS x, y * s AS y, z * s AS z, w FROM nrm WHERE 90 - abs(degrees(acos(z)) - 90) < 40),
+sums AS (SELECT azimuth, tilt, side, count(*) AS n, sum(w) AS weight, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM c GROUP BY 1, 2, 3),
+near AS (SELECT a.azimuth, a.tilt, a.side, b.side AS other FROM sums a JOIN sums b USING (azimuth, tilt)
+    WHERE a.side = b.side OR (a.x * b.x + a.y * b.y + a.z * b.z) / (sqrt(a.x ** 2 + a.y ** 2 + a.z ** 2) * sqrt(b.x ** 2 + b.y ** 2 + b.z ** 2)) > cos(radians(2))),
+l1 AS (SELECT azimuth, tilt, side, min(other) AS k FROM near GROUP BY 1, 2, 3),
+l2 AS (SELECT near.azimuth, near.tilt, near.side, min(k) AS k FROM near JOIN l1 ON l1.azimuth = near.azimuth AND l1.tilt = near.tilt AND l1.side = near.other GROUP BY 1, 2, 3),
+l3 AS (SELECT near.azimuth, near.tilt, near.side, min(k) AS k FROM near JOIN l2 ON l2.azimuth = near.azimuth AND l2.tilt = near.tilt AND l2.side = near.other GROUP BY 1, 2, 3),
+clusters AS (SELECT azimuth, tilt, k, sum(n) AS n, sum(weight) AS weight, sum(sum(n)) OVER (PARTITION BY azimuth, tilt) AS whole FROM sums JOIN l3 USING (azimuth, tilt, side) GROUP BY 1, 2, 3),
+best AS (SELECT * FROM clusters QUALIFY row_number() OVER (PARTITION BY azimuth, tilt ORDER BY n DESC, k) = 1)"""
+
+
+@query("normal_clusters", f"WITH {NORMAL_GRID} SELECT azimuth, tilt, CAST(n AS BIGINT) AS n, round(weight, 6) AS weight, CAST(whole - n AS BIGINT) AS removed FROM best")
+def normal_clusters(spark, d):
+    found = alignment.main_clusters(alignment.upright_cells(facings(spark, d), (0.0, 0.0, 1.0), (1.0, 0.0, 0.0)))
+    return found.select("azimuth", "tilt", "n", F.round("weight", 6).alias("weight"), "removed").distinct()
+
+
+@query("upright_clusters", f"""
+WITH RECURSIVE {NORMAL_GRID}, peaks AS (SELECT azimuth, tilt, weight, azimuth * 40 + tilt AS cell FROM best WHERE weight >= 0.02 * (SELECT max(weight) FROM best)),
+touch AS (SELECT a.cell AS a, b.cell AS b FROM peaks a JOIN peaks b ON a.cell = b.cell OR (abs(a.tilt - b.tilt) <= 1 AND (a.azimuth - b.azimuth + 91) % 90 <= 2) OR (a.tilt = 0 AND b.tilt = 0)),
+reach AS (SELECT cell AS a, cell AS b FROM peaks UNION SELECT reach.a, touch.b FROM reach JOIN touch ON touch.a = reach.b),
+named AS (SELECT a AS cell, min(b) AS cluster FROM reach GROUP BY a),
+heavy AS (SELECT cluster FROM named JOIN peaks USING (cell) GROUP BY cluster ORDER BY sum(weight) DESC, cluster LIMIT 1),
+kept AS (SELECT p.azimuth, p.tilt, l3.side FROM named JOIN heavy USING (cluster) JOIN peaks p USING (cell) JOIN best b ON b.azimuth = p.azimuth AND b.tilt = p.tilt JOIN l3 ON l3.azimuth = b.azimuth AND l3.tilt = b.tilt AND l3.k = b.k),
+mean AS (SELECT sum(x * w) AS x, sum(y * w) AS y, sum(z * w) AS z, count(*) AS n FROM c JOIN kept USING (azimuth, tilt, side))
+SELECT round(x / sqrt(x * x + y * y + z * z), 7) AS x, round(y / sqrt(x * x + y * y + z * z), 7) AS y, round(z / sqrt(x * x + y * y + z * z), 7) AS z, n FROM mean""")
+def upright_clusters(spark, d):
+    found = alignment.upright_by_clusters(facings(spark, d), peak=0.02)
+    return found.select(*[F.round(a, 7).alias(a) for a in "xyz"], "n")
