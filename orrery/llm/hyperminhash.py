@@ -30,6 +30,8 @@ from .simhash import shingle_hashes
 
 #: Registers, and bits that each keeps of the hash's mantissa.
 REGISTERS, MANTISSA = 128, 10
+#: Registers of the sketches that nodes of crowded buckets get.
+DEEP = 512
 #: Bands, and registers in each.
 BANDS, WIDTH = 16, 5
 #: Standard deviations that an estimate may lie below the wanted likeness.
@@ -42,14 +44,15 @@ BLOCK = 512
 
 _rng = np.random.default_rng(11)
 FACTORS = _rng.integers(1 << 63, size=(REGISTERS, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+DEEP_FACTORS = np.random.default_rng(12).integers(1 << 63, size=(DEEP, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 MIXERS = _rng.integers(1 << 63, size=(BANDS, WIDTH)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least hash of a set under each of :data:`REGISTERS` functions."""
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def minima(hashes: np.ndarray, factors: np.ndarray = FACTORS) -> np.ndarray:
+    """The least hash of a set under each of several functions."""
+    least = np.full(len(factors), np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(hashes), BLOCK):
-        np.minimum(least, (hashes[None, i : i + BLOCK] * FACTORS).min(axis=1), out=least)
+        np.minimum(least, (hashes[None, i : i + BLOCK] * factors).min(axis=1), out=least)
     return least
 
 
@@ -108,22 +111,36 @@ def text_key(text_col: str) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
 
-def estimate(a: str, b: str) -> Column:
+def _unlike(x: Column) -> Column:
+    """How many of the four registers in a number are not 0."""
+    lanes, carry = F.lit(0x0000FFFF0000FFFF), F.lit(0x0001000000010000)  # a lane that isn't zero carries into the bit above it
+    return sum(F.bit_count((two.bitwiseAND(lanes) + lanes).bitwiseAND(carry)) for two in (F.shiftrightunsigned(x, 16), x))
+
+
+def estimate(a: str, b: str, differing: Column | None = None, registers: int = REGISTERS) -> Column:
     """The likeness of two nodes (structs of ``sig`` and ``chance``) by their registers, corrected for equality by chance."""
-    differing, lanes, carry = F.lit(0), F.lit(0x0000FFFF0000FFFF), F.lit(0x0001000000010000)
-    for i in range(REGISTERS // 4):
-        x = F.get(F.col(f"{a}.sig"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}.sig"), F.lit(i)))
-        for two in (x, F.shiftrightunsigned(x, 16)):  # a lane that isn't zero carries into the bit above it
-            differing = differing + F.bit_count((two.bitwiseAND(lanes) + lanes).bitwiseAND(carry))
+    if differing is None:
+        pairs = [F.get(F.col(f"{a}.sig"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}.sig"), F.lit(i))) for i in range(REGISTERS // 4)]
+        differing = sum(map(_unlike, pairs), F.lit(0))
     lucky = F.sqrt(F.col(f"{a}.chance") * F.col(f"{b}.chance"))
-    return (1 - differing / REGISTERS - lucky) / (1 - lucky)
+    return (1 - differing / registers - lucky) / (1 - lucky)
+
+
+def least_estimate(percent: int, registers: int = REGISTERS) -> float:
+    j = percent / 100
+    return j - DEVIATIONS * (j * (1 - j) / registers) ** 0.5
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
     """Whether two nodes' sizes allow the likeness, and their registers make it likely."""
     sizes = (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * percent)
-    j = percent / 100
-    return sizes & (estimate(a, b) >= j - DEVIATIONS * (j * (1 - j) / REGISTERS) ** 0.5)
+    return sizes & (estimate(a, b) >= least_estimate(percent))
+
+
+def may_link_deeply(a: str, b: str, percent: int) -> Column:
+    """The same by four times the registers, in column ``deep``, for pairs that passed :func:`may_link`."""
+    differing = F.aggregate(F.zip_with(F.col(f"{a}.deep"), F.col(f"{b}.deep"), lambda x, y: _unlike(x.bitwiseXOR(y))), F.lit(0), lambda s, t: s + t)
+    return estimate(f"{a}.s", f"{b}.s", differing, DEEP) >= least_estimate(percent, DEEP)
 
 
 SKETCH = ("n", "chance", "sig")
@@ -165,7 +182,7 @@ def pairs_by_rare_shingles(held: DataFrame, nodes: DataFrame, docs: DataFrame, t
 
     Shingles are ordered by how many of the crowded buckets' sets hold them, so prefixes have rare ones. The longer
     of two sets is tried with a prefix for all lengths that may link, the shorter one with that for its own length and above, and
-    the place of the shared shingle must leave enough behind it in both.
+    the place of the shared shingle must leave enough behind it in both. What is left is estimated by :data:`DEEP` registers, made for these sets only.
     """
     crowd = held.where(F.col("size") > CROWDED).select("set", "class").distinct()
     texts = stash(texts_of(docs, nodes.join(crowd, "set", "left_semi"), text_col))
@@ -178,19 +195,26 @@ def pairs_by_rare_shingles(held: DataFrame, nodes: DataFrame, docs: DataFrame, t
             for i in range(0, len(of), 1 << 15):
                 yield pa.record_batch([batch.column(0).take(pa.array(of[i : i + (1 << 15)])), pa.array(found[i : i + (1 << 15)])], names=["set", "shingle"])
 
+    def sketch(it):
+        for batch in it:
+            deep = [compressed(minima(shingles(x.as_py(), words), DEEP_FACTORS)).view(np.int64) for x in batch.column(1).cast(pa.binary())]
+            yield pa.record_batch([batch.column(0), pa.array(deep, pa.list_(pa.int64()))], names=["deep_set", "deep"])
+
     exploded = stash(texts.mapInArrow(batches, "set binary, shingle long"))
+    deep = stash(texts.mapInArrow(sketch, "deep_set binary, deep array<long>"))
     rarity = exploded.groupBy("shingle").agg(F.count("*").alias("holders"))
     ranked = exploded.join(rarity, "shingle").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("order"))
     n = F.size("order")
     prefix = F.slice("order", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
     filed = ranked.select("set", F.posexplode(prefix["shingle"]).alias("pos", "shingle")).join(crowd, "set")
-    filed = stash(filed.join(nodes.select("set", F.struct(*SKETCH).alias("s")), "set"))
+    filed = filed.join(nodes.select("set", F.struct(*SKETCH).alias("s")), "set")
+    filed = stash(filed.join(deep, F.col("set") == F.col("deep_set")).drop("deep_set"))
     # sets of n and m shingles must share this many, so their first common one leaves as many behind it in both
     l, r = F.col("l.s.n"), F.col("r.s.n")
     common = lambda size: F.ceil(size * percent / (100 + percent))
     smaller = (l < r) | ((l == r) & (F.col("l.set") < F.col("r.set")))
     placed = (F.col("l.pos") <= l - common(l + r)) & (F.col("r.pos") <= r - common(l + r))
-    on = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.class") != F.col("r.class")) & smaller & placed & may_link("l.s", "r.s", percent)
+    on = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.class") != F.col("r.class")) & smaller & placed & may_link("l.s", "r.s", percent) & may_link_deeply("l", "r", percent)
     short = filed.where(F.col("pos") <= F.col("s.n") - common(2 * F.col("s.n")))
     met = short.alias("l").join(filed.alias("r"), on)
     return met.select(F.col("l.set").alias("a"), F.col("r.set").alias("b")).distinct()
