@@ -273,6 +273,27 @@ def clip_boxes(boxes: DataFrame, cutters: DataFrame) -> DataFrame:
     return both.select("id", F.explode(left).alias("box"))
 
 
+def disjoint_boxes(boxes: DataFrame, chunk: int = 32) -> DataFrame:
+    """``(id, box)``: the boxes without what those of smaller id cover, as disjoint boxes that cover the same together.
+
+    What earlier boxes cover is the same before and after they are clipped, so each box is cut by the whole ones. Its cutters come in
+    chunks of their order, a round for each, in which every piece is cut by itself; so no row holds more than a chunk, however many boxes overlap
+    one. Boxes that are covered wholly have no row; null boxes neither. Of boxes of one id, each is cut by the smaller ids only.
+    """
+    order = Window.partitionBy("id").orderBy("b_id")
+    pairs = boxes_meeting(boxes, boxes, strict=True).where("b_id < a_id").select(F.col("a_id").alias("id"), "b_id").distinct()
+    pairs = stash(pairs.withColumn("round", F.floor((F.row_number().over(order) - 1) / chunk)))
+    cutters = boxes.select(F.col("id").alias("b_id"), F.col("box").alias("cut"))
+    left = boxes.where("box is not null").select("id", g.box(F.col("box.min"), F.col("box.max")).alias("box"))
+    for k in range(-1 if (last := pairs.agg(F.max("round")).first()[0]) is None else last + 1):
+        cuts = pairs.where(F.col("round") == k).join(cutters, "b_id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("b_id", "cut"))).alias("cuts"))
+        rows = left.join(cuts, "id", "left")
+        whole = F.array("box")
+        pieces = F.aggregate("cuts", whole, lambda acc, x: F.flatten(F.transform(acc, lambda b: g.box_difference(b, x["cut"]))))
+        left = stash(rows.select("id", F.explode(F.when(F.col("cuts").isNull(), whole).otherwise(pieces)).alias("box")))
+    return left
+
+
 def bounds(rows: DataFrame, position: str = "pos", by: list[str] | None = None) -> DataFrame:
     """``(by, box, centroid, n)``."""
     p = F.col(position)
