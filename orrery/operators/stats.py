@@ -250,6 +250,11 @@ def fit_plane(rows: DataFrame, x: str, y: str, z: str, by: list[str] | None = No
     sums = [F.avg(F.col(v)).alias(f"_m{k}") for k, v in names.items()]
     sums += [F.covar_pop(names[a], names[b]).alias(f"_{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]
     rows = rows.groupBy(*by).agg(F.count("*").alias("n"), *sums)
+    return _planes(rows, by)
+
+
+def _planes(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Planes from means ``_mx`` .. and covariances ``_xx`` .. of each group."""
 
     @F.pandas_udf("array<double>")
     def normal(xx, xy, xz, yy, yz, zz):
@@ -271,3 +276,32 @@ def fit_plane(rows: DataFrame, x: str, y: str, z: str, by: list[str] | None = No
         *by, F.struct(F.col("_mx").alias("x"), F.col("_my").alias("y"), F.col("_mz").alias("z")).alias("origin"),
         F.struct(axis(0).alias("x"), axis(1).alias("y"), axis(2).alias("z")).alias("normal"), "n",
     )
+
+
+def robust_plane(rows: DataFrame, x: str, y: str, z: str, by: list[str] | None = None, rounds: int = 3) -> DataFrame:
+    """``(by, origin, normal, n)``: a plane that outlying points hardly turn, by reweighted least squares in a fixed number of rounds.
+
+    Each round weighs the points by ``1 / (1 + (d / s)^2)`` with d their distance from the plane before and s its median times 1.4826, and fits anew: two
+    aggregates over the rows, and a join with a plane for each group. Points without a coordinate are left out.
+    """
+    by = by or []
+    xyz = dict(zip("xyz", (x, y, z)))
+    there = rows.where(" and ".join(f"`{c}` is not null" for c in xyz.values()))
+    points = stash(there.select(*by, *[F.col(c).cast("double").alias(f"_{k}") for k, c in xyz.items()]))
+    planes = fit_plane(points, "_x", "_y", "_z", by)
+    for _ in range(rounds):
+        planes = stash(planes)
+        own = planes.select(*by, *[F.col("origin")[k].alias(f"_o{k}") for k in "xyz"], *[F.col("normal")[k].alias(f"_n{k}") for k in "xyz"], F.col("n").alias("_n"))
+        met = points.join(own, by) if by else points.crossJoin(F.broadcast(own))  # one row
+        off = sum((F.col(f"_n{k}") * (F.col(f"_{k}") - F.col(f"_o{k}")) for k in "xyz"), F.lit(0.0))
+        met = stash(met.select(*by, *[(F.col(f"_{k}") - F.col(f"_o{k}")).alias(f"_{k}") for k in "xyz"], *[F.col(f"_o{k}") for k in "xyz"], F.abs(off).alias("_d")))
+        spread = met.groupBy(*by).agg((F.percentile_approx("_d", 0.5) * 1.4826).alias("_s"))
+        met = met.join(spread, by) if by else met.crossJoin(F.broadcast(spread))  # one row
+        weight = F.when(F.col("_s") > 0, 1 / (1 + (F.col("_d") / F.col("_s")) * (F.col("_d") / F.col("_s")))).otherwise((F.col("_d") == 0).cast("double"))
+        sums = [F.sum("_w").alias("_sum"), F.count("*").alias("n"), *[F.first(f"_o{k}").alias(f"_o{k}") for k in "xyz"]]
+        sums += [(F.sum(F.col("_w") * F.col(f"_{k}")) / F.sum("_w")).alias(f"_m{k}") for k in "xyz"]
+        sums += [(F.sum(F.col("_w") * F.col(f"_{a}") * F.col(f"_{b}")) / F.sum("_w")).alias(f"_q{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]
+        moments = met.withColumn("_w", weight).groupBy(*by).agg(*sums)
+        spreads = [(F.col(f"_q{a}{b}") - F.col(f"_m{a}") * F.col(f"_m{b}")).alias(f"_{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]
+        planes = _planes(moments.select(*by, "n", *[(F.col(f"_m{k}") + F.col(f"_o{k}")).alias(f"_m{k}") for k in "xyz"], *spreads), by)
+    return planes

@@ -126,3 +126,37 @@ def test_upright_by_clusters(spark):
     cells = alignment.upright_cells(normals, (0.0, 0.0, 1.0), (1.0, 0.0, 0.0))
     assert alignment.main_clusters(cells).agg(F.max("removed")).first()[0] >= 5
     assert alignment.upright_by_clusters(normals.where("false")).collect() == []
+
+
+def test_plane_errors(spark):
+    rng = np.random.default_rng(3)
+    normal = np.array([0.2, -0.1, -1.0]) / np.linalg.norm([0.2, -0.1, -1.0])
+    rows, cloud = [], {}
+    for r in range(12):
+        for c in range(12):
+            ray = np.array([(c - 5.5) / 10, (r - 5.5) / 10, 1.0])
+            depth = float(normal @ np.array([0, 0, 2.0]) / (normal @ ray) + rng.normal() * 1e-3 + (0.8 if (r * 12 + c) % 9 == 0 else 0))
+            rows.append((1, r, c, depth, "left" if c < 6 else "right"))
+            cloud[r, c] = ray * depth
+    depths = spark.createDataFrame([*rows, (1, 99, 0, 0.0, "left"), (1, 99, 1, None, "left")], "camera_id long, r int, c int, depth double, mask string")
+    camera = spark.createDataFrame([(1, pose_of(np.eye(3), (0, 0, 0)), (10.0, 10.0, 5.5, 5.5))], CAMERAS)
+    planes = spark.createDataFrame([(1,)], "camera_id long").select("camera_id", v.vec(0.0, 0.0, 2.0).alias("origin"), v.vec(*map(float, normal)).alias("normal"))
+    got = {(x.r, x.c): x for x in cameras.against_plane(depths, camera, planes, ["mask"]).collect()}
+    assert set(got) == set(cloud)
+    for at, p in cloud.items():
+        ray = p / np.linalg.norm(p)
+        assert abs(got[at].accuracy - abs(normal @ (p - [0, 0, 2]))) < 1e-9
+        assert abs(got[at].distance - normal @ [0, 0, 2] / (normal @ ray)) < 1e-9
+        assert abs(got[at].angle - abs(np.degrees(np.arccos(normal @ ray)) - 180)) < 1e-6
+    for mask, low in (("left", 0), ("right", 6)):
+        pts = np.array([p for (r, c), p in cloud.items() if low <= c < low + 6])
+        fitted = np.linalg.svd(pts - pts.mean(0))[2][2]
+        for (r, c), p in cloud.items():
+            if low <= c < low + 6:
+                assert abs(got[r, c].noise - abs(fitted @ (p - pts.mean(0)))) < 1e-7
+    firm = cameras.against_plane(depths, camera, planes, robust=True)
+    rough = cameras.against_plane(depths, camera, planes)
+    middle = lambda df: df.agg(F.median("noise")).first()[0]
+    assert middle(firm) < 0.01 < middle(rough)
+    stats = cameras.plane_statistics(rough, ["camera_id"]).first()
+    assert stats.noise_n == stats.accuracy_n == 144
