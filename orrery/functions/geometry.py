@@ -333,6 +333,42 @@ def triangle_hits_box(t: Column, b: Column) -> Column:
     return v.let(test, *[v.subtract(t[k], center) for k in "abc"], half)
 
 
+# --- quads: four corners in turn, as two triangles along their first diagonal -----------------
+
+
+def quad(a: Column, b: Column, c: Column, d: Column) -> Column:
+    return F.struct(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
+
+
+def quad_triangles(q: Column) -> tuple[Column, Column]:
+    return triangle(q["a"], q["b"], q["c"]), triangle(q["a"], q["c"], q["d"])
+
+
+def quad_distance(q: Column, p: Column) -> Column:
+    """Distance of a point from a quad."""
+    return F.least(*[triangle_distance(t, p) for t in quad_triangles(q)])
+
+
+def quad_hits_box(q: Column, b: Column) -> Column:
+    one, other = (triangle_hits_box(t, b) for t in quad_triangles(q))
+    return one | other
+
+
+def ray_quad_hits(r: Column, q: Column) -> Column:
+    """``array<double>``: the distances at which a ray meets a quad's triangles, in order, each once. Points on an edge are outside, so on the diagonal too."""
+    found = F.array(*[ray_triangle(r, t) for t in quad_triangles(q)])
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
+
+
+@v.bound
+def ray_meets_point(r: Column, p: Column, epsilon: float = v.EPSILON) -> Column:
+    """Distance at which a ray meets a point, to within ``epsilon`` on each axis; null if it passes by or the point lies behind."""
+    along = v.dot(v.subtract(p, r["origin"]), r["direction"])
+    off = v.subtract(p, v.add(r["origin"], v.scale(r["direction"], along)))
+    near = _all(lambda a: F.abs(off[a]) < epsilon)
+    return F.when(near & (along > -epsilon), along)
+
+
 # --- poses ------------------------------------------------------------------------------
 # A pose is array<double>(12): the first three rows of a 4x4 matrix, row by row.
 

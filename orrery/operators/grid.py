@@ -220,6 +220,19 @@ def to_world(cells: DataFrame, resolution: float, low: tuple[float, float, float
     return cells.withColumn("pos", F.struct(*middle))
 
 
+def from_crop(cells: DataFrame, orientation: Column, center: tuple[float, float, float]) -> DataFrame:
+    """``cells`` with ``pos`` turned out of a crop's frame, about its centre."""
+    from ..functions import vectors as v
+
+    return cells.withColumn("pos", v.rotate(F.col("pos"), orientation, v.vec(*[F.lit(float(x)) for x in center])))
+
+
+def slices(grid: DataFrame, axis: str) -> DataFrame:
+    """``(slice, r, c, v)``: the grid as images at right angles to an axis, one for each of its indices."""
+    r, c = [a for a in CELL if a != axis]
+    return grid.select(F.col(axis).alias("slice"), F.col(r).alias("r"), F.col(c).alias("c"), "v")
+
+
 def to_cell(p: Column, resolution: float) -> Column:
     """``struct<x, y, z>``: the nearest cell, ``trunc(p / resolution + 0.5)``."""
     return F.struct(*[(p[a] / resolution + 0.5).cast("long").alias(a) for a in CELL])

@@ -11,7 +11,7 @@ from ..functions import vectors as v
 from ..operators import binning
 from ..operators.collections import with_ordinal
 from ..registry import query, table
-from ..sources import bundle, lines, ply, points, poses
+from ..sources import bundle, documents, lines, ply, points, poses
 from ..storage import work_dir
 from .spatial import points as embedded
 from .spatial import terrain
@@ -118,3 +118,29 @@ def file_sfm(spark, d):
     bundle.write_sfm(images, cameras, at := place(spark, "sfm"))
     back = poses.trajectory(poses.read_images(spark, f"{at}/images"), poses.read_cameras(spark, f"{at}/cameras"))
     return back.select(F.col("image_id").cast("long").alias("image_id"), F.round(g.pose_position(F.col("pose"))["y"], 9).alias("y"), F.round(F.get("pose", F.lit(0)), 9).alias("r00"), "width")
+
+
+@query("file_json_points", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ord, CASE WHEN p_partkey % 9 <> 0 THEN CAST(p_size AS DOUBLE) END AS x, CASE WHEN p_partkey % 9 <> 0 THEN p_retailprice END AS y FROM part")
+def file_json_points(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 9 != 0, v.vec("p_size", "p_retailprice", 1.0)).alias("pos"))
+    documents.write_points_json(rows, at := place(spark, "json"), ["p_partkey"])
+    return documents.read_points_json(spark, at).select("ord", "pos.x", "pos.y")
+
+
+@query("file_results", """
+SELECT o_orderkey AS frame, count(*) AS n_pixels, CAST(CAST(avg(l_discount) AS DECIMAL(18, 4)) AS DOUBLE) AS mean_noise_m FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 0 GROUP BY 1 HAVING count(*) IN (1, 2, 4, 5)""")
+def file_results(spark, d):
+    """Numbers of lines by which means come out in few digits, so that their rounding is not in doubt."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("frame")).agg(F.count("*").alias("n_pixels"), F.avg("l_discount").alias("mean_noise_m")).where("n_pixels in (1, 2, 4, 5)")
+    documents.write_results(rows, at := place(spark, "results"), ["frame", "n_pixels", "mean_noise_m"], ["frame"])
+    return documents.read_results(spark, at, "frame long, n_pixels long, mean_noise_m double")
+
+
+@query("file_cameras", "SELECT vec_id AS camera_id, 640 AS width, round(CAST(embedding[1] AS DOUBLE) + 500, 9) AS fx, round(CAST(embedding[2] AS DOUBLE), 9) AS k1, 0.0::DOUBLE AS k2, round(CAST(embedding[3] AS DOUBLE), 9) AS z FROM embeddings")
+def file_cameras(spark, d):
+    p = F.col("pos")
+    lens = F.struct((p["x"] + 500).alias("fx"), F.lit(500.0).alias("fy"), F.lit(320.0).alias("cx"), F.lit(240.0).alias("cy"))
+    cameras = embedded(spark, d).select(F.col("id").alias("camera_id"), F.lit(640).alias("width"), F.lit(480).alias("height"), lens.alias("intrinsics"), g.pose(v.rotation_z(p["x"]), p).alias("pose"), p["y"].alias("k1"))
+    documents.write_cameras(cameras, at := place(spark, "cameras"))
+    back = documents.read_cameras(spark, at)
+    return back.select("camera_id", "width", F.round("intrinsics.fx", 9).alias("fx"), F.round("k1", 9).alias("k1"), "k2", F.round(g.pose_position(F.col("pose"))["z"], 9).alias("z"))
