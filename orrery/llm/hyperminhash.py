@@ -241,7 +241,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text_col: str,
                 kept.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    ends = pairs.select(F.col("a").alias("set")).distinct().union(pairs.select("b").distinct()).distinct()
     texts = stash(texts_of(docs, nodes.join(ends, "set", "left_semi"), text_col))
     side = lambda end: texts.select(F.col("set").alias(end), F.col("text").alias(f"text_{end}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
