@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import association, collections
-from ..operators.relational import Column, ForeignKey, Join, OrderBy, Selection, Table, orphans
+from ..operators.relational import TYPES, Column, ForeignKey, Join, OrderBy, Selection, Table, orphans
 from ..registry import query, table
+from ..sources.databases import database
 
 
 def tables(spark, d, *names):
@@ -188,3 +191,20 @@ def bernoulli_sample(spark, d):
 @query("shuffled", "SELECT c_custkey FROM customer")
 def shuffled(spark, d):
     return collections.shuffled(table(spark, d, "customer").select("c_custkey"), ["c_custkey"])
+
+
+@query("db_selection", """
+SELECT n_name, c_custkey, round(c_acctbal, 2) AS c_acctbal FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 1000""")
+def db_selection(spark, d):
+    """Both tables go into a database, with their keys, and are selected from there."""
+    mark = uuid.uuid4().hex[:8]
+    nation = Table(f"nation_{mark}", [Column("n_nationkey", "integer"), Column("n_name", "text", required=True)], ("n_nationkey",))
+    key = ForeignKey(nation.name, ("c_nationkey",), ("n_nationkey",))
+    customer = Table(f"customer_{mark}", [Column("c_custkey", "integer"), Column("c_nationkey", "integer"), Column("c_acctbal", "real")], ("c_custkey",), [key])
+    db = database(spark, f"orrery_{mark}")
+    for t, name in ((nation, "nation"), (customer, "customer")):
+        db.create(t)
+        db.append(table(spark, d, name).select(*[F.col(c.name).cast(TYPES[c.type]).alias(c.name) for c in t.columns]), t)
+    joined = Join(nation.name, "c_nationkey", "n_nationkey", "left")
+    chosen = Selection(customer.name, ["n_name", "c_custkey", "round(c_acctbal, 2) AS c_acctbal"], [joined], "c_acctbal > 1000", [OrderBy("c_custkey")])
+    return db.select(chosen, {customer.name: "c_custkey"})
