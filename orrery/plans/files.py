@@ -120,6 +120,36 @@ def file_sfm(spark, d):
     return back.select(F.col("image_id").cast("long").alias("image_id"), F.round(g.pose_position(F.col("pose"))["y"], 9).alias("y"), F.round(F.get("pose", F.lit(0)), 9).alias("r00"), "width")
 
 
+@query("file_sfm_renumbered", """
+WITH i AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id DESC) AS new, count(*) OVER () AS n FROM embeddings),
+t AS (SELECT id, unnest([0, 1, 2]) AS at, n FROM i)
+SELECT t.id, t.at, i.new AS image_id, t.at * 10 AS point2d FROM t JOIN i ON i.id = CASE WHEN t.at = 2 THEN 0 ELSE t.id END""")
+def file_sfm_renumbered(spark, d):
+    """Images in falling order of ids with gaps; each point is seen twice by its own and by the one that sees all."""
+    n = (F.col("id") * 7 + 3).cast("string")
+    listed = embedded(spark, d).select("id", F.posexplode(F.array(F.concat_ws(" ", n, F.lit("1 0 0 0 0 0 0 1"), F.concat(F.lit("image"), n)), F.lit("5 6 -1"))).alias("row", "line"))
+    at = place(spark, "renumbered")
+    lines.write_lines(listed.withColumn("back", -F.col("id")), f"{at}/old/images", ["back", "row"], single=True)
+    dots = embedded(spark, d).select("id", F.concat_ws(" ", F.col("id").cast("string"), F.lit("1 2 3 9 9 9 0.5"), n, F.lit("0"), n, F.lit("10 3 20")).alias("line"))
+    lines.write_lines(dots, f"{at}/old/points3D", ["id"], single=True)
+    bundle.renumber_sfm(spark, f"{at}/old/images", f"{at}/old/points3D", f"{at}/new")
+    return bundle.read_tracks(spark, f"{at}/new/points3D")
+
+
+@query("file_bundle_to_sfm", f"""
+SELECT row_number() OVER (ORDER BY vec_id) AS image_id, 'image' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS name, {ROUND.format('embedding[2]')} AS y, 500.0::DOUBLE + vec_id AS fx, 320.0::DOUBLE AS cx FROM embeddings""")
+def file_bundle_to_sfm(spark, d):
+    p = F.col("pos")
+    rows = with_ordinal(embedded(spark, d), ["id"], "idx")
+    cameras = rows.select("idx", (F.col("id") + 500.0).alias("focal"), F.lit(0.0).alias("k1"), F.lit(0.0).alias("k2"), g.pose(v.rotation_z(p["x"]), p).alias("pose"))
+    dots = rows.select("idx", "pos", F.struct(*[F.lit(9).cast("short").alias(k) for k in "rgb"]).alias("color"))
+    at = place(spark, "to-sfm")
+    bundle.write_bundle(cameras, dots, f"{at}/bundle")
+    bundle.bundle_to_sfm(spark, f"{at}/bundle", rows.select(F.concat(F.lit("image"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("name")), f"{at}/sfm", 640, 480, points=False)
+    back = poses.trajectory(poses.read_images(spark, f"{at}/sfm/images"), poses.read_cameras(spark, f"{at}/sfm/cameras"))
+    return back.select(F.col("image_id").cast("long").alias("image_id"), "name", F.round(g.pose_position(F.col("pose"))["y"], 9).alias("y"), "intrinsics.fx", "intrinsics.cx")
+
+
 @query("file_json_points", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ord, CASE WHEN p_partkey % 9 <> 0 THEN CAST(p_size AS DOUBLE) END AS x, CASE WHEN p_partkey % 9 <> 0 THEN p_retailprice END AS y FROM part")
 def file_json_points(spark, d):
     rows = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 9 != 0, v.vec("p_size", "p_retailprice", 1.0)).alias("pos"))

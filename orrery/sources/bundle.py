@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import vectors as v
+from ..operators.collections import with_ordinal
 from .lines import read_lines, tokens, write_lines
 
 HEAD, CAMERA, POINT = 2, 5, 3
@@ -88,6 +89,94 @@ def write_sfm(images: DataFrame, cameras: DataFrame, path: str, points: DataFram
         write_lines(lines, f"{path}/points3D", ["n"], single=True, mode=mode)
 
 
+def with_images(cameras: DataFrame, images: DataFrame, descending: bool = False) -> DataFrame:
+    """``cameras`` (numbered by ``idx`` from 0) with ``name``: of the names in ``images``, in order, the one of
+    the same number. If there are more of either, reading raises an error."""
+    named = with_ordinal(images.select("name"), ["name"], "_up")
+    if descending:
+        named = named.crossJoin(F.broadcast(named.agg(F.max("_up").alias("_last"))))  # one row
+        named = named.select("name", (F.col("_last") - F.col("_up")).alias("_up"))
+    both = cameras.join(named, F.col("idx") == F.col("_up"), "full")
+    paired = F.col("idx").isNotNull() & F.col("_up").isNotNull()
+    name = F.when(paired, F.col("name")).otherwise(F.raise_error(F.lit("images and poses differ in number")).cast("string"))
+    return both.select(*cameras.columns, name.alias("name"))
+
+
+def bundle_to_sfm(spark: SparkSession, bundle: str, images: DataFrame, path: str, width: int, height: int, descending: bool = False, points: bool = True, mode: str = "error") -> None:
+    """A bundle file as text tables: an image and a camera (image centre as principal point) for each pose, numbered
+    from 1, under the names in ``images``. The two radial terms have no place in a pinhole camera and are left out."""
+    cameras = with_images(read_bundle_cameras(spark, bundle), images, descending).withColumn("id", F.col("idx") + 1)
+    own = cameras.select(F.col("id").alias("image_id"), F.col("id").alias("camera_id"), "name", "pose")
+    values = {"fx": F.col("focal"), "fy": F.col("focal"), "cx": F.lit(width / 2), "cy": F.lit(height / 2)}
+    lens = F.struct(*[x.alias(k) for k, x in values.items()])
+    lenses = cameras.select(F.col("id").alias("camera_id"), F.lit(width).alias("width"), F.lit(height).alias("height"), lens.alias("intrinsics"))
+    dots = read_bundle_points(spark, bundle).select((F.col("idx") + 1).alias("id"), "pos", "color") if points else None
+    write_sfm(own, lenses, path, dots, mode)
+
+
+# --- tables rewritten line by line: what isn't named stays as it is written ---
+
+
+def _image_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, ord, line, n)``: ``n`` numbers the images from 0; comments and the lines after images have none."""
+    lines = read_lines(spark, path)
+    own = with_ordinal(lines.where(~F.col("line").startswith("#")), ["file", "ord"], "_n")
+    own = own.select("file", "ord", "line", F.when(F.col("_n") % 2 == 0, F.floor(F.col("_n") / 2)).alias("n"))
+    return own.unionByName(lines.where(F.col("line").startswith("#")).withColumn("n", F.lit(None).cast("long")))
+
+
+#: A line's first part, its first eight, and what follows these: all that isn't changed is taken over.
+ID, BEFORE_TRACK, BEHIND = r"^(\s*\S+)", r"^(\s*(?:\S+\s+){7}\S+)", r"^\s*(?:\S+\s+){8}(.*)$"
+
+
+def _track(t: Column) -> Column:
+    """The pairs of image and point behind the eight first parts of a line; half a pair raises an error."""
+    two = lambda i: F.struct(F.get(t, i).try_cast("long").alias("image_id"), F.get(t, i + 1).alias("point2d"))
+    pairs = F.transform(F.sequence(F.lit(8), F.greatest(F.size(t) - 2, F.lit(8)), F.lit(2)), two)
+    half = F.raise_error(F.lit("a track has half a pair")).cast("array<struct<image_id:bigint,point2d:string>>")
+    return F.when((F.size(t) > 8) & (F.size(t) % 2 == 1), half).when(F.size(t) > 8, pairs)
+
+
+def shift_translations(spark: SparkSession, images: str, path: str, offset: tuple[float, float, float], single: bool = True, mode: str = "error") -> None:
+    """An image list with ``offset`` added to the translations as they are written (world to camera)."""
+    part = lambda i: F.get(tokens(F.col("line")), F.lit(i))
+    moved = [(part(i).cast("double") + offset[i - 5]).cast("string") if 5 <= i <= 7 else part(i) for i in range(8)]
+    line = F.when(F.col("n").isNull(), F.col("line")).otherwise(F.concat_ws(" ", *moved, F.regexp_extract("line", BEHIND, 1)))
+    write_lines(_image_lines(spark, images).select("file", "ord", line.alias("line")), path, ["file", "ord"], single, mode)
+
+
+def renumber_sfm(spark: SparkSession, images: str, points: str, path: str, single: bool = True, mode: str = "error") -> None:
+    """Tables ``images`` and ``points3D`` under ``path`` in which images are numbered from 1, in order of their lines, and
+    the points' tracks say so too. An id of two images, or one in a track that no image has, raises an error.
+
+    Each reference meets the list of ids by a join; a track is put together by its point.
+    """
+    listed = _image_lines(spark, images)
+    old = F.trim(F.regexp_extract("line", ID, 1)).try_cast("long")
+    new = F.when(old.isNull(), F.raise_error(F.lit("an image has no number")).cast("string")).otherwise(F.regexp_replace("line", F.lit(ID), (F.col("n") + 1).cast("string")))
+    line = F.when(F.col("n").isNull(), F.col("line")).otherwise(new)
+    ids = listed.where("n is not null").groupBy(old.alias("image")).agg(F.count("*").alias("_held"), F.min("n").alias("n"))
+    once = F.when(F.col("_held") > 1, F.raise_error(F.lit("two images have one id")).cast("long")).otherwise(F.col("n") + 1)
+    ids = ids.select("image", once.alias("new"))
+    write_lines(listed.select("file", "ord", line.alias("line")), f"{path}/images", ["file", "ord"], single, mode)
+
+    lines = read_lines(spark, points).withColumn("_t", F.when(~F.col("line").startswith("#"), tokens(F.col("line"))))
+    spread = lines.select("file", "ord", F.posexplode(_track(F.col("_t"))).alias("at", "p"))
+    new = F.when(F.col("new").isNull(), F.raise_error(F.lit("a track names an image that isn't listed")).cast("long")).otherwise(F.col("new"))
+    named = spread.join(ids, F.col("p.image_id") == F.col("image"), "left").select("file", "ord", "at", F.concat_ws(" ", new.cast("string"), "p.point2d").alias("two"))
+    tracks = named.groupBy("file", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "two"))), lambda x: x["two"]), " ").alias("track"))
+    kept = lines.join(tracks, ["file", "ord"], "left")
+    line = F.when(F.col("track").isNull(), F.col("line")).otherwise(F.concat_ws(" ", F.regexp_extract("line", BEFORE_TRACK, 1), "track"))
+    write_lines(kept.select("file", "ord", line.alias("line")), f"{path}/points3D", ["file", "ord"], single, mode)
+
+
+def read_tracks(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, at, image_id, point2d)``: a row for each image that sees a point of the table, in order of ``at``."""
+    t = F.col("_t")
+    rows = spark.read.text(path).where(~F.col("value").startswith("#")).select(tokens(F.col("value")).alias("_t"))
+    return rows.select(F.get(t, F.lit(0)).try_cast("long").alias("id"), F.posexplode(_track(t)).alias("at", "p")).select("id", "at", "p.image_id", F.col("p.point2d").cast("long").alias("point2d"))
+
+
 def write_transforms(frames: DataFrame, path: str, height: int, width: int, intrinsics: tuple[float, float, float, float], mode: str = "error") -> None:
     """A training-transform JSON of frames ``(file_path, pose)``; they are gathered into one row, as the format asks."""
     matrix = F.array(*[F.slice("pose", 1 + 4 * r, 4) for r in range(3)], F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0))))
