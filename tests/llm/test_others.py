@@ -100,6 +100,45 @@ def test_bucket_pairs_are_those_of_brute_force():
         assert got == want
 
 
+@pytest.mark.parametrize("chunk", [1024, 7])
+def test_whole_buckets_are_those_of_brute_force(spark, chunk, monkeypatch):
+    """Descriptors that crowd into few buckets: each near pair of different classes that shares one comes once."""
+    monkeypatch.setattr(images, "CHUNK", chunk)
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 2, (6, images.BITS), dtype=np.uint8)[rng.integers(0, 6, 300)]
+    bits ^= rng.random(bits.shape) < rng.choice([0, 0.02, 0.06], 300)[:, None]
+    rows = [(i // 3, i % 3, [int(x) for x in q]) for i, q in enumerate(images._longs(bits))]
+    points = spark.createDataFrame(rows, "image_id long, corner int, quarters array<long>")
+    parts = spark.createDataFrame([(i, i - i % 4) for i in range(60)], "node long, component long")
+    met = [images.meetings_across(points, parts, range(t, t + 4), 24) for t in (0, 4)]
+    got = sorted(tuple(r) for r in met[0].unionByName(met[1]).collect())
+    kind = np.array([r[0] - r[0] % 4 if r[0] < 60 else r[0] for r in rows])
+    shared = np.zeros((300, 300), dtype=bool)
+    for order in images._orders():
+        keys = bits[:, order[: images.LEAST_KEY]]
+        shared |= (keys[:, None] == keys[None]).all(axis=2)
+    near = shared & ((bits[:, None] != bits[None]).sum(axis=2) <= 24) & (kind[:, None] != kind[None])
+    want = sorted((*rows[i][:2], *rows[j][:2]) for i, j in zip(*np.nonzero(near)) if i < j)
+    assert len(want) > 1000 and got == want
+
+
+def test_copies_among_crowded_corners_are_linked(spark, monkeypatch):
+    """Two images of twelve corners that are 20 bits apart each; 400 other images have every one of these corners, or nearly."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2, (12, images.BITS), dtype=np.uint8)
+    flipped = lambda bits, n: bits ^ np.isin(np.arange(images.BITS), rng.permutation(images.BITS)[:n])
+    corners = [(i, c, *rng.uniform(0, 64, 2), flipped(base[k], 6)) for i in range(1200) for c, k in enumerate(rng.permutation(12)[:4])]
+    for k in range(12):
+        flips, place = rng.permutation(images.BITS)[:20], (16.0 * (k % 4), 20.0 * (k // 4))
+        corners += [(2000 + n, k, *place, base[k] ^ np.isin(np.arange(images.BITS), flips[n::2])) for n in range(2)]
+    quarters = images._longs(np.array([c[-1] for c in corners]))
+    rows = [(*(x if isinstance(x, int) else float(x) for x in c[:4]), 0, 0.0, [int(x) for x in q]) for c, q in zip(corners, quarters)]
+    points = spark.createDataFrame(rows, "image_id long, corner int, x double, y double, scale int, turn double, quarters array<long>")
+    monkeypatch.setattr(images, "descriptors", lambda chosen: points)
+    df = spark.range(1200).union(spark.range(2000, 2002)).selectExpr("id as image_id", "8 as height", "1 as width", "cast(lpad(id, 8, '0') as binary) as pixels")
+    assert {r.image_id: r.component_id for r in images.copies(df).collect()} == {i: i for i in range(1200)} | {2000: 2000, 2001: 2000}
+
+
 def turned(a, degrees):
     h, w = a.shape
     t, (y, x) = np.deg2rad(degrees), np.mgrid[0:h, 0:w]
