@@ -40,6 +40,8 @@ DEVIATIONS = 4
 STARS = 3
 #: Nodes of a bucket whose pairs are compared; larger buckets are searched by rare shingles, with the same result.
 CROWDED = 16
+#: Rarest shingles of a set that each posting has at hand, to see whether a pair met before.
+EARLIER = 64
 BLOCK = 512
 
 _rng = np.random.default_rng(11)
@@ -177,12 +179,13 @@ def pairs_across(held: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("l.set", "r.set").alias("a"), F.greatest("l.set", "r.set").alias("b")).distinct()
 
 
-def pairs_by_rare_shingles(held: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
+def meetings_by_rare_shingles(held: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` of different classes that meet in a crowded bucket, share a shingle of their prefixes and are likely to link.
 
     Shingles are ordered by how many of the crowded buckets' sets hold them, so prefixes have rare ones. The longer
     of two sets is tried with a prefix for all lengths that may link, the shorter one with that for its own length and above, and
-    the place of the shared shingle must leave enough behind it in both. What is left is estimated by :data:`DEEP` registers, made for these sets only.
+    the place of the shared shingle must leave enough behind it in both. A pair meets at the first shingle that both share and not again at the
+    next ones, as far as the first :data:`EARLIER` of each tell; beyond these it may come again. What is left is estimated by :data:`DEEP` registers, made for these sets only.
     """
     crowd = held.where(F.col("size") > CROWDED).select("set", "class").distinct()
     texts = stash(texts_of(docs, nodes.join(crowd, "set", "left_semi"), text_col))
@@ -206,7 +209,8 @@ def pairs_by_rare_shingles(held: DataFrame, nodes: DataFrame, docs: DataFrame, t
     ranked = exploded.join(rarity, "shingle").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("order"))
     n = F.size("order")
     prefix = F.slice("order", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
-    filed = ranked.select("set", F.posexplode(prefix["shingle"]).alias("pos", "shingle")).join(crowd, "set")
+    filed = ranked.select("set", F.slice(prefix["shingle"], 1, EARLIER).alias("first"), F.posexplode(prefix["shingle"]).alias("pos", "shingle"))
+    filed = filed.select("set", "pos", "shingle", F.slice("first", F.lit(1), F.least("pos", F.lit(EARLIER))).alias("before")).join(crowd, "set")
     filed = filed.join(nodes.select("set", F.struct(*SKETCH).alias("s")), "set")
     filed = stash(filed.join(deep, F.col("set") == F.col("deep_set")).drop("deep_set"))
     # sets of n and m shingles must share this many, so their first common one leaves as many behind it in both
@@ -214,10 +218,11 @@ def pairs_by_rare_shingles(held: DataFrame, nodes: DataFrame, docs: DataFrame, t
     common = lambda size: F.ceil(size * percent / (100 + percent))
     smaller = (l < r) | ((l == r) & (F.col("l.set") < F.col("r.set")))
     placed = (F.col("l.pos") <= l - common(l + r)) & (F.col("r.pos") <= r - common(l + r))
-    on = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.class") != F.col("r.class")) & smaller & placed & may_link("l.s", "r.s", percent) & may_link_deeply("l", "r", percent)
+    on = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.class") != F.col("r.class")) & smaller & placed
+    on = on & ~F.arrays_overlap("l.before", "r.before") & may_link("l.s", "r.s", percent) & may_link_deeply("l", "r", percent)
     short = filed.where(F.col("pos") <= F.col("s.n") - common(2 * F.col("s.n")))
     met = short.alias("l").join(filed.alias("r"), on)
-    return met.select(F.col("l.set").alias("a"), F.col("r.set").alias("b")).distinct()
+    return met.select(F.col("l.set").alias("a"), F.col("r.set").alias("b"))
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
@@ -287,7 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if true(pairs_across(held, nodes, percent)):
         held = mixed_buckets(postings, parts)
     if not held.where(F.col("size") > CROWDED).isEmpty():
-        true(pairs_by_rare_shingles(held, nodes, docs, text_col, words, percent))
+        true(meetings_by_rare_shingles(held, nodes, docs, text_col, words, percent).distinct())
     classes = nodes.join(parts, F.col("set") == F.col("node"), "left").select("set", "least_id", F.coalesce("component", "set").alias("class"))
     least = classes.groupBy("class").agg(F.min("least_id").alias("component_id"))
     named = stash(classes.join(least, "class").select(F.col("set").alias("named"), "component_id"))

@@ -217,6 +217,22 @@ def test_near_duplicates_of_families(spark, crowded, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("earlier", [0, 64])
+def test_pairs_meet_once_at_rare_shingles(spark, earlier, monkeypatch):
+    """All the classes' pairs in one crowded bucket that are likely to link; none again at its second common shingle."""
+    monkeypatch.setattr(hyperminhash, "EARLIER", earlier)
+    rows = families(80, 90, 4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = hyperminhash.stash(hyperminhash.sketches(docs).dropDuplicates(["set"]))
+    held = nodes.select(F.lit(1).alias("key"), "set", F.col("set").alias("class"), F.lit(99).alias("size"))
+    got = [(bytes(r.a), bytes(r.b)) for r in hyperminhash.meetings_by_rare_shingles(held, nodes, docs, "text", 3, 85).collect()]
+    texts = dict(rows)
+    sets = {bytes(r.set): word_sets(texts[r.doc_id]) for r in nodes.select("set", "doc_id").collect()}
+    alike = {frozenset((a, b)) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert len(alike) > 50 and alike <= set(map(frozenset, got))
+    assert (len(got) == len(set(map(frozenset, got)))) == (earlier == 64)
+
+
 def test_estimates(spark):
     """Estimates lie about the true likeness, and unlike sets come out near 0."""
     rng = np.random.default_rng(1)
