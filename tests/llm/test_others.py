@@ -1,6 +1,7 @@
 """Images, chats and URLs, on odd rows and against brute force."""
 
 import hashlib
+import itertools
 import json
 
 import duckdb
@@ -139,6 +140,62 @@ def test_copies_among_crowded_corners_are_linked(spark, monkeypatch):
     assert {r.image_id: r.component_id for r in images.copies(df).collect()} == {i: i for i in range(1200)} | {2000: 2000, 2001: 2000}
 
 
+def corner_table(spark, corners):
+    """Corners (image, number, x, y, bits) as points."""
+    quarters = images._longs(np.array([c[-1] for c in corners]))
+    rows = [(int(i), int(k), float(x), float(y), 0, 0.0, [int(q) for q in word]) for (i, k, x, y, _), word in zip(corners, quarters)]
+    return spark.createDataFrame(rows, "image_id long, corner int, x double, y double, scale int, turn double, quarters array<long>")
+
+
+NO_PARTS = "node long, component long"
+
+
+def test_corners_that_all_images_have_are_not_paired(spark):
+    """300 images with the same three patterns: rows stay in proportion, and the one pair that has two more in common is found whole."""
+    rng = np.random.default_rng(3)
+    common, own = rng.integers(0, 2, (3, images.BITS), dtype=np.uint8), rng.integers(0, 2, (300, 5, images.BITS), dtype=np.uint8)
+    own[200, :2] = own[100, :2]
+    corners = [(i, k, 9.0 * k, 0.0, common[k]) for i in range(300) for k in range(3)] + [(i, 3 + k, 9.0 * k, 9.0, own[i, k]) for i in range(300) for k in range(5)]
+    spent = []
+    found = images.matches_across(corner_table(spark, corners), spark.createDataFrame([], NO_PARTS), 24, 5, spent).collect()
+    assert sorted((r.l_image_id, r.l_corner, r.r_image_id, r.r_corner) for r in found) == [(100, k, 200, k) for k in range(5)]
+    assert sum(table.count() for table in spent) < 20 * 300
+
+
+def test_places_set_aside_lose_no_match(spark, monkeypatch):
+    """Against all near pairs: those of every image pair that may have five places in common, though each image's three most crowded are set aside."""
+    monkeypatch.setattr(images, "LIGHT", 2)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2, (24, images.BITS), dtype=np.uint8)
+    spots = rng.uniform(0, 64, (24, 2))
+    corners = []
+    for i in range(60):
+        kinds = rng.choice(24, 8, replace=False, p=np.arange(24, 0, -1) / 300)
+        kinds = np.r_[kinds, kinds[:2]]  # the same place at another scale
+        for k, kind in enumerate(kinds):
+            bits = base[kind] ^ (rng.random(images.BITS) < rng.choice([0, 0.03]))
+            corners.append((i, k, *(spots[kind] + rng.uniform(-0.9, 0.9, 2)), bits))
+    parts = spark.createDataFrame([(i, i - i % 3) for i in range(30)], NO_PARTS)
+    points = corner_table(spark, corners)
+    met = images.meetings_across(points, parts, range(images.TABLES), 24).collect()
+    at = {c[:2]: complex(c[2], c[3]) for c in corners}
+    by_pair = {}
+    for r in met:
+        by_pair.setdefault((r.l_image_id, r.r_image_id), []).append(((r.l_image_id, r.l_corner), (r.r_image_id, r.r_corner)))
+
+    def apart(kept):
+        return all(min(abs(at[a] - at[c]), abs(at[b] - at[d])) > images.APART for (a, b), (c, d) in itertools.combinations(kept, 2))
+
+    may = {pair for pair, near in by_pair.items() if any(apart(kept) for kept in itertools.combinations(near, 5))}
+    spent = []
+    got = {(r.l_image_id, r.l_corner, r.r_image_id, r.r_corner) for r in images.matches_across(points, parts, 24, 5, spent).collect()}
+    every = {(*a, *b) for near in by_pair.values() for a, b in near}
+    assert spent[0].where("place = 2").count() and 10 < len(may) < len(by_pair)
+    assert got <= every and {m for m in every if (m[0], m[2]) in may} <= got
+    assert len({m[::2] for m in got}) < len(by_pair)
+    assert sum(table.count() for table in spent[1:5]) < len(every)
+
+
 def turned(a, degrees):
     h, w = a.shape
     t, (y, x) = np.deg2rad(degrees), np.mgrid[0:h, 0:w]
