@@ -122,7 +122,8 @@ def swap_red_blue(a: Column) -> Column:
 
 
 def grey(a: Column) -> Column:
-    return F.bround(0.299 * a["r"] + 0.587 * a["g"] + 0.114 * a["b"]).cast("int")
+    """Rounded half to even; of whole thousandths, so that a half is one and not a sum of rounded products beside it."""
+    return F.bround((299 * a["r"].cast("long") + 587 * a["g"].cast("long") + 114 * a["b"].cast("long")) / 1000).cast("int")
 
 
 @bound

@@ -138,6 +138,12 @@ def test_collections(spark):
 # --- scalars ----------------------------------------------------------------------------
 
 
+def test_grey_of_a_half_is_rounded_to_even(spark):
+    halves = [(r, g, b) for r in range(0, 256, 5) for g in range(0, 256, 3) for b in range(0, 256, 4) if (299 * r + 587 * g + 114 * b) % 1000 == 500]
+    rows = spark.createDataFrame(halves, "r int, g int, b int").select("r", "g", "b", s.grey(F.struct(*[F.col(c).cast("short").alias(c) for c in "rgb"])).alias("y"))
+    assert [tuple(x) for x in rows.collect() if x.y != round((299 * x.r + 587 * x.g + 114 * x.b) / 1000)] == [] and len(halves) > 100
+
+
 def test_scalars(spark):
     r = one(
         spark, half=s.round_even(F.lit(2.5)), cut=s.truncate(F.lit(-1.7)), wrap=s.angle_difference_degrees(F.lit(1.0), F.lit(359.0)), time=s.format_milliseconds(F.lit(90_061_005)),
