@@ -408,3 +408,19 @@ def test_whole_spatial_queries_are_brute_force(spark):
         x, y, z = points[i]
         assert abs(got[i] - np.sqrt(((at - [2 * x, y, z]) ** 2).sum(axis=1)).min()) < 1e-7
     assert len(got) == len(ids)
+
+
+@pytest.mark.parametrize("name", ["box_any", "box_contains"])
+def test_cells_of_boxes_are_not_broadcast(spark, name):
+    """A file of some MB has more rows and cells than a driver can send round."""
+    from orrery.registry import QUERIES
+
+    assert "Broadcast" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_boxes_are_counted_each(spark):
+    cube = lambda x: ((x, 0.0, 0.0), (x + 1.0, 1.0, 1.0))
+    boxes = spark.createDataFrame([(i, cube(float(i % 3))) for i in range(30)] + [(99, None)], "id long, box struct<min:struct<x:double,y:double,z:double>,max:struct<x:double,y:double,z:double>>")
+    points = cloud(spark, [(0.5, 0.5, 0.5)] * 3 + [(1.0, 0.5, 0.5)])
+    assert {r.box_id: r.n for r in spatial.count_points(points, boxes).collect()} == {i: (4, 1)[i % 3] for i in range(30) if i % 3 < 2}
+    assert sorted(r.id for r in spatial.any_in_box(boxes, points).collect()) == [i for i in range(30) if i % 3 < 2]
