@@ -424,3 +424,16 @@ def test_equal_boxes_are_counted_each(spark):
     points = cloud(spark, [(0.5, 0.5, 0.5)] * 3 + [(1.0, 0.5, 0.5)])
     assert {r.box_id: r.n for r in spatial.count_points(points, boxes).collect()} == {i: (4, 1)[i % 3] for i in range(30) if i % 3 < 2}
     assert sorted(r.id for r in spatial.any_in_box(boxes, points).collect()) == [i for i in range(30) if i % 3 < 2]
+
+
+def test_all_rays_meet_a_level_triangle_at_one_distance_once(spark):
+    rng = np.random.default_rng(8)
+    rays = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rng.random((3000, 2)) * 0.05)], "id long, x double, y double").select("id", g.ray(v.vec(F.col("x") - 1, F.col("y") - 0.5, -2.0), v.vec(0.5, 0.25, 1.0)).alias("ray"))
+    tris = spark.range(3).select("id", g.triangle(*[v.vec(x, y, 0.123456789 * F.col("id")) for x, y in ((0.0, 0.0), (0.07, 0.01), (0.01, 0.08))]).alias("tri"))
+    got = spatial.ray_hits(rays, tris, size=0.02, first_only=False)
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()  # hits aren't shuffled
+    rows = got.collect()
+    assert len(rows) == len({(r.ray_id, r.triangle_id) for r in rows}) > 1000
+    for i in {r.triangle_id for r in rows}:
+        found = {r.distance for r in rows if r.triangle_id == i}
+        assert len(found) == 1 and math.isclose(*found, (0.123456789 * i + 2) * math.sqrt(1.3125), rel_tol=1e-15)
