@@ -437,3 +437,16 @@ def test_all_rays_meet_a_level_triangle_at_one_distance_once(spark):
     for i in {r.triangle_id for r in rows}:
         found = {r.distance for r in rows if r.triangle_id == i}
         assert len(found) == 1 and math.isclose(*found, (0.123456789 * i + 2) * math.sqrt(1.3125), rel_tol=1e-15)
+
+
+def test_nearest_triangles_meet_few_of_those_in_reach(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    corners = rng.random((500, 1, 3)) + np.array([(0, 0, 0), (0.3, 0.05, 0), (0.05, 0.3, 0)])
+    kind = "struct<x:double,y:double,z:double>"
+    tf = spark.createDataFrame([(i, tuple(tuple(map(float, c)) for c in t)) for i, t in enumerate(corners)], f"id long, tri struct<a:{kind},b:{kind},c:{kind}>")
+    tried, whole = [], spatial.points_in_boxes
+    monkeypatch.setattr(spatial, "points_in_boxes", lambda *a, **k: (tried.append((found := whole(*a, **k)).count()), found)[1])
+    pts = rng.random((100, 3))
+    got = {r.point_id: r.distance for r in spatial.nearest_triangle(cloud(spark, pts), tf, 2.0).collect()}
+    assert len(got) == 100 and all(math.isclose(got[i], min(triangle_distance(t, p) for t in corners), rel_tol=1e-9) for i, p in enumerate(pts))
+    assert sum(tried) < 50 * 100  # not all 50000
